@@ -8,14 +8,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tierloom.llm.byte_bpe import byte_bpe
 from tierloom.llm.exact_dedup import exact_dedup
+from tierloom.llm.language import fit_language, language
 from tierloom.llm.packing import pack_documents
+from tierloom.llm.quality import fit_quality, quality
 from tierloom.llm.shared import table
+from tierloom.llm.top_k import top_k
 from tierloom.llm.url_filter import rule_table, url_filter
 from tierloom.llm.warc import warc_round_trip
 
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -26,6 +39,11 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), rule_table(spark, URL_RULES))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language(docs, fit_language(docs))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -41,7 +59,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_byte_bpe, op6_url_filter, op8_exact_dedup, op9_warc, op10_packing)}
+    return {f.__name__: f for f in (op2_quality, op3_top_k, op4_byte_bpe, op6_url_filter, op7_language, op8_exact_dedup, op9_warc, op10_packing)}
 
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -68,7 +86,15 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id <> top THEN 're
   CASE WHEN page_id <> top THEN top END AS refers_to, CASE WHEN page_id <> top THEN NULL ELSE true END AS verified
 FROM p LEFT JOIN g USING (payload_digest)
 """
+TOP_K_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s
+QUALIFY rank <= 10
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": URL_SQL, "op8_exact_dedup": EXACT_SQL, "op9_warc": WARC_SQL}
+    return {"op3_top_k": TOP_K_SQL, "op6_url_filter": URL_SQL, "op8_exact_dedup": EXACT_SQL, "op9_warc": WARC_SQL}
