@@ -12,7 +12,7 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +21,7 @@ from tierloom.llm.shared import Scratch, attach
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Keys sampled for each range; the sample is ranges x SAMPLE keys, whatever the input.
 SAMPLE = 16
+EVENT = ["key", "is_url", "rule", "verdict", "host", "path"]
 
 
 def url_host(url: str = "url") -> Column:
@@ -58,10 +59,10 @@ def _ranges(bounds: list[bytes]) -> tuple[list[bytes], list[int]]:
 def _dealer(distinct: list[bytes], first: list[int], parts: list[int]):
     """Assigns url keys to one part of their range, and rules to all parts of all ranges that they meet."""
 
-    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             at, rows = [], []
-            for i, (key, is_url, spread) in enumerate(zip(pdf.key, pdf.is_url, pdf.spread)):
+            for i, (key, is_url, spread) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "is_url", "spread")))):
                 raw = key.encode("utf-8", "surrogatepass")
                 low = bisect_right(distinct, raw) - 1
                 if is_url:
@@ -74,18 +75,19 @@ def _dealer(distinct: list[bytes], first: list[int], parts: list[int]):
                     span = range(first[low], first[high] + parts[high])
                     at += span
                     rows += [i] * len(span)
-            yield pdf.iloc[rows].assign(part=at).drop(columns="spread")
+            taken = batch.select(EVENT).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(at, pa.int32())], names=[*EVENT, "part"])
 
     return deal
 
 
-def _sweep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (part, key, rules first); the stack holds the rules whose prefix the current key has, shortest first."""
     stack: list[tuple[str, str, str]] = []
     part = None
-    for pdf in frames:
+    for batch in batches:
         found, rows = [], []
-        for i, (at, key, is_url, rule, verdict) in enumerate(zip(pdf.part, pdf.key, pdf.is_url, pdf.rule, pdf.verdict)):
+        for i, (at, key, is_url, rule, verdict) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("part", "key", "is_url", "rule", "verdict")))):
             if at != part:
                 stack, part = [], at
             while stack and not key.startswith(stack[-1][0]):
@@ -97,8 +99,9 @@ def _sweep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             elif stack:
                 rows.append(i)
                 found.append(stack[-1])
-        out = pdf.iloc[rows][["host", "path"]]
-        yield out.assign(size=[len(x[0]) for x in found], rule=[x[1] for x in found], verdict=[x[2] for x in found])
+        taken = batch.select(["host", "path"]).take(pa.array(rows, pa.int64()))
+        more = [pa.array([len(x[0]) for x in found], pa.int32()), *(pa.array([x[k] for x in found], pa.string()) for k in (1, 2))]
+        yield pa.RecordBatch.from_arrays([*taken.columns, *more], names=["host", "path", "size", "rule", "verdict"])
 
 
 def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow", url_col: str = "url", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
@@ -138,8 +141,8 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow", url_c
         fit.select("key", F.lit(False).alias("is_url"), "rule", "verdict", none.alias("host"), none.alias("path"), F.lit(0).cast("long").alias("spread"))
     )
     shape = "key string, is_url boolean, rule string, verdict string, host string, path string, part int"
-    dealt = events.mapInPandas(_dealer(distinct, first, parts), shape).repartition("part").sortWithinPartitions("part", "key", "is_url", "verdict")
-    hits = dealt.mapInPandas(_sweep, "host string, path string, size int, rule string, verdict string")
+    dealt = events.mapInArrow(_dealer(distinct, first, parts), shape).repartition("part").sortWithinPartitions("part", "key", "is_url", "verdict")
+    hits = dealt.mapInArrow(_sweep, "host string, path string, size int, rule string, verdict string")
     best = hits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), "size").alias("best"))
     judged = urls.join(best, ["host", "path"], "left")
     out = attach(rows, judged, ["host", "path"], list(keep), rows.count())
