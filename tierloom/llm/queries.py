@@ -12,6 +12,7 @@ from tierloom.llm.language import fit_language, language
 from tierloom.llm.packing import pack_documents
 from tierloom.llm.quality import fit_quality, quality
 from tierloom.llm.shared import table
+from tierloom.llm.substring import substring_dedup
 from tierloom.llm.top_k import top_k
 from tierloom.llm.url_filter import rule_table, url_filter
 from tierloom.llm.warc import warc_round_trip
@@ -35,6 +36,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), rule_table(spark, URL_RULES))
 
@@ -59,7 +64,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op3_top_k, op4_byte_bpe, op6_url_filter, op7_language, op8_exact_dedup, op9_warc, op10_packing)}
+    return {f.__name__: f for f in (op2_quality, op3_top_k, op4_byte_bpe, op5_substring, op6_url_filter, op7_language, op8_exact_dedup, op9_warc, op10_packing)}
 
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
