@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from tierloom.llm.byte_bpe import byte_bpe
 from tierloom.llm.exact_dedup import exact_dedup
 from tierloom.llm.language import fit_language, language
+from tierloom.llm.near_dedup import near_classes
 from tierloom.llm.packing import pack_documents
 from tierloom.llm.quality import fit_quality, quality
 from tierloom.llm.shared import table
@@ -20,6 +22,10 @@ from tierloom.llm.warc import warc_round_trip
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(table(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
@@ -63,8 +69,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op3_top_k, op4_byte_bpe, op5_substring, op6_url_filter, op7_language, op8_exact_dedup, op9_warc, op10_packing)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_quality, op3_top_k, op4_byte_bpe, op5_substring, op6_url_filter, op7_language, op8_exact_dedup, op9_warc, op10_packing, pipeline)}
 
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
