@@ -7,10 +7,11 @@ coordinate. Regions double in rank from level to level, and a document stops whe
 are hit, so large documents look at the first regions only and small ones at many.
 
 Documents of equal words are one representative first. Signatures are cut into bands; representatives that share
-a band are a bucket. No pairs of a bucket are listed: each member is compared with the bucket's hub, by the
-shingles themselves. Members of other classes than their hubs' are compared again with twice
-as many hubs in each round, until every member has a hub in its class or has been a hub. Classes are connected
-components.
+a band are a bucket. The pairs of a bucket aren't listed: each member is compared with the bucket's hub, by the
+shingles themselves. Members of other classes than their hubs' are dealt anew, to buckets that share a band more, of three other
+bands each, with hubs of their own; buckets of SMALL members and less are compared whole then. So the comparisons grow with
+the members, and a link can only be missed between two members that are both unlike all their hubs and
+part in each of those rounds. Classes are connected components.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 24, 4
 #: Darts per element in the first level; each level doubles the rank reached so far.
 FIRST = 1 / 16
+#: Bands that are joined to a band's key in later rounds, counted from it; and the bucket size up to which all members then meet.
+OFFSETS, SMALL = ((1, 5, 9), (2, 7, 12), (3, 10, 16), (4, 13, 18)), 8
 
 
 def elements(w: Words, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
@@ -133,17 +136,17 @@ def _verify(threshold: float):
 class Classes:
     """Connected components of the links found so far, by least labels and pointer jumping."""
 
-    def __init__(self, work: Scratch):
-        self.work, self.n = work, 0
+    def __init__(self, work: Scratch, name: int):
+        self.work, self.name, self.n = work, name, 0
 
     def _save(self, df: DataFrame) -> DataFrame:
         self.n += 1
-        return self.work.save(df, f"labels{self.n}")
+        return self.work.save(df, f"labels{self.name}-{self.n}")
 
     def labels(self, links: DataFrame) -> DataFrame:
         """(id, label) for the ends of links (a, b); the label is the least id of the component."""
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-        both = self.work.save(both, f"both{self.n}")
+        both = self.work.save(both, f"both{self.name}")
         n_links = both.count()
         label = self._save(both.groupBy(F.col("a").alias("id")).agg(F.least("id", F.min("b")).alias("label"), F.count(F.lit(1)).alias("n")))
         while n_links:
@@ -162,6 +165,22 @@ class Classes:
         return label.select("id", "label")
 
 
+def _hubs(work: Scratch, waiting: DataFrame, round_: int) -> tuple[DataFrame, int]:
+    """Members (key, band, rep, n, hub) of all buckets of two and more; a bucket's hub is its member whose buckets are largest in all.
+
+    An original shares more bands with its copies than these do with each other, so it is the hub of most of them.
+    """
+    buckets = work.save(counted(waiting, ["key"]).where("n > 1"), f"buckets{round_}")
+    n_members = buckets.agg(F.sum("n")).first()[0] or 0
+    if not n_members:
+        return waiting, 0
+    inside = work.save(attach(waiting, buckets, ["key"], ["rep"], n_members, how="inner").select("key", "band", "rep", "n"), f"inside{round_}")
+    score = inside.groupBy("rep").agg((F.sum("n") + F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) / float(1 << 20)).alias("score"))
+    hubs = inside.join(score, "rep").groupBy("key").agg(F.max_by("rep", "score").alias("hub"), F.count(F.lit(1)).alias("size"))
+    found = attach(inside, hubs, ["key"], ["rep"], n_members, size="size", how="inner").drop("size")
+    return work.save(found, f"members{round_}"), n_members
+
+
 def near_classes(docs: DataFrame, threshold: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Class of each row: (id, class_id, class_size, kept).
 
@@ -177,53 +196,51 @@ def near_classes(docs: DataFrame, threshold: float = SIMILAR, id_col: str = "doc
     signed = work.save(ids.mapInArrow(_sign, "id long, digest binary, bands array<long>"), "signed")
     reps = signed.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
     reps = work.save(reps, "reps")
-    placed = reps.where(F.col("rep").isNotNull()).select("rep", F.posexplode("bands").alias("band", "key"))
-    buckets = work.save(counted(placed, ["band", "key"]).where("n > 1"), "buckets")
-    members = attach(placed, buckets, ["band", "key"], ["rep"], buckets.agg(F.sum("n")).first()[0] or 0, how="inner").select("band", "key", "rep", "n")
-    members = work.save(members, "members")
-    n_members = members.count()
-    involved = work.save(ids.join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]), "texts")
-
+    bands = reps.where(F.col("rep").isNotNull()).select("rep", "bands")
+    waiting = bands.select("rep", F.posexplode("bands").alias("band", "value"))
+    waiting = waiting.select("rep", "band", F.xxhash64("band", "value").alias("key"))
+    involved = None
     links = spark.createDataFrame([], "a long, b long")
     label = links.select(F.col("a").alias("id"), F.col("b").alias("label"))
-    tried = None
-    waiting, hubs_each, round_ = members, 1, 0
-    members = members.drop("n")
-    while n_members:
-        size = counted(waiting, ["band", "key"], F.min(F.xxhash64("rep")).alias("least"))
-        size = work.save(size.withColumn("share", F.greatest(F.lit(1), F.ceil(F.col("n") / hubs_each))), f"size{round_}")
-        inside = attach(waiting.drop("n"), size, ["band", "key"], ["rep"], waiting.count())
-        order = F.xxhash64("rep")
-        hubs = inside.where((order == F.col("least")) | (F.pmod(F.xxhash64("rep", F.lit(round_)), F.col("share")) == 0)).select("band", "key", F.col("rep").alias("hub"))
-        hubs = work.save(hubs, f"hubs{round_}")
-        # each member of a bucket meets the bucket's hubs; sizes are those of the whole buckets, times their hubs
-        whole = buckets.join(counted(hubs, ["band", "key"]).withColumnRenamed("n", "hubs"), ["band", "key"]).select("band", "key", "n").join(hubs, ["band", "key"])
-        pairs = attach(members, whole, ["band", "key"], ["rep"], n_members * hubs_each, how="inner").where("rep <> hub")
-        pairs = pairs.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+    tried, round_ = None, 0
+    while True:
+        inside, n_inside = _hubs(work, waiting, round_)
+        if not n_inside:
+            break
+        if involved is None:
+            ends = inside.select(F.col("rep").alias("id")).distinct()
+            involved = work.save(ids.join(ends, "id", "left_semi").dropDuplicates(["id"]), "texts")
+        met = inside.where("rep <> hub").select("rep", "hub")
+        if round_:
+            small = inside.where(F.col("n") <= SMALL).select("key", "rep")
+            met = met.unionByName(small.join(small.withColumnRenamed("rep", "hub"), "key").where("rep < hub").select("rep", "hub"))
+        pairs = met.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-            for end in ("a", "b"):
-                pairs = pairs.join(label.withColumnsRenamed({"id": end, "label": f"class_{end}"}), end, "left")
-            pairs = pairs.where(~F.col("class_a").eqNullSafe(F.col("class_b")) | F.col("class_a").isNull()).select("a", "b")
         pairs = work.save(pairs, f"pairs{round_}")
+        tried = pairs if tried is None else tried.unionByName(pairs)
         n_pairs = pairs.count()
         if n_pairs:
             by_a = counted(pairs, ["a"]).withColumnRenamed("a", "id").join(involved, "id").withColumnsRenamed({"id": "a", "text": "text_a"})
             by_b = counted(pairs, ["b"]).withColumnRenamed("b", "id").join(involved, "id").withColumnsRenamed({"id": "b", "text": "text_b"})
             with_b = attach(pairs, by_b, ["b"], ["a"], n_pairs).select("a", "b", "text_b")
             with_a = attach(with_b, by_a, ["a"], ["b"], n_pairs).select("a", "b", "text_a", "text_b")
-            found = work.save(with_a.mapInArrow(_verify(threshold), "a long, b long"), f"links{round_}")
-            links = links.unionByName(found)
-            label = work.save(Classes(work).labels(links), f"classes{round_}")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        # a member waits on unless it was a hub or is in the class of one of its bucket's hubs
-        named = waiting.join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        done = hubs.join(label.withColumnRenamed("id", "hub"), "hub", "left").select("band", "key", F.coalesce("label", "hub").alias("label")).distinct()
-        waiting = named.where("n > 2").join(done, ["band", "key", "label"], "left_anti").select("band", "key", "rep", "n")  # two have met
-        waiting = work.save(waiting, f"waiting{round_}")
-        if not waiting.limit(1).count():
+            links = links.unionByName(work.save(with_a.mapInArrow(_verify(threshold), "a long, b long"), f"links{round_}"))
+            label = work.save(Classes(work, round_).labels(links), f"classes{round_}")
+        # members of other classes than their hubs' go on, in buckets that have yet more of the signature in common
+        open_ = inside.where(F.col("n") > (SMALL if round_ else 2)).where("rep <> hub")
+        n_open = open_.count()
+        if not n_open:
             break
-        hubs_each, round_ = hubs_each * 2, round_ + 1
+        named = open_.join(label.withColumnsRenamed({"id": "rep", "label": "mine"}), "rep", "left")
+        of_hub = counted(open_, ["hub"]).withColumnRenamed("n", "hub_n").join(label.withColumnsRenamed({"id": "hub", "label": "theirs"}), "hub", "left")
+        named = attach(named, of_hub, ["hub"], ["rep"], n_open, size="hub_n")
+        rest = named.where(F.coalesce("mine", "rep") != F.coalesce("theirs", "hub")).select("rep", "band", "key")
+        offsets = F.array(*[F.lit(o) for o in OFFSETS[round_ % len(OFFSETS)]])
+        rest = rest.join(bands, "rep").select("rep", "band", "key", "bands", F.explode(offsets).alias("offset"))
+        rest = rest.select("rep", "band", F.xxhash64("key", "offset", F.get("bands", (F.col("band") + F.col("offset")) % BANDS)).alias("key"))
+        waiting = work.save(rest, f"waiting{round_}")
+        round_ += 1
 
     classes = reps.select("digest", "n", "rep").join(label.withColumnRenamed("id", "rep"), "rep", "left").select("digest", "n", F.coalesce("label", "rep").alias("class_id"))
     classes = work.save(classes, "of_digest")

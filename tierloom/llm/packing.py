@@ -14,6 +14,7 @@ import hashlib
 import heapq
 import re
 import zlib
+from array import array
 from collections import defaultdict, deque
 from collections.abc import Iterator
 
@@ -32,6 +33,15 @@ BLOCK_TOKENS = 4 << 20
 IDS = 1 << 36
 
 
+def _byte_letters() -> dict[int, int]:
+    """The public byte-level alphabet: printable Latin characters stand for themselves, other bytes for U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in plain)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
 def pack(lengths: list[int], longest: int = 2048) -> list[tuple[int, list[tuple[int, int, int]]]]:
     """Sequences as (tier, [(document, start, length), ...]) for documents of the given lengths.
 
@@ -129,12 +139,18 @@ class WordTokens:
         norms = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         if norms == ["NFC", "Replace", "Lowercase"] and steps[0].get("type") == "Split" and steps[0]["invert"] and steps[0]["behavior"] == "Removed" and steps[1]["type"] == "ByteLevel" and not steps[1]["use_regex"]:
             self.words = fast_pattern(steps[0]["pattern"]["Regex"])
+            self.model = self.tok.model  # its merges alone, for words that are cut and lower-cased already
         specials = [re.escape(t["content"]) for t in spec.get("added_tokens") or [] if not (t["special"] and ordinary_specials)]
         self.specials = re.compile("|".join(specials)) if specials else None
-        self.kept = Kept(self._encode)
+        self.kept = Kept(self._merge)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _merge(self, words: list[str]) -> list[bytes]:
+        merge = self.model.tokenize
+        mapped = [w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_LETTERS) for w in words]
+        return [array("I", [t.id for t in merge(w)]).tobytes() for w in mapped]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [i for i, t in enumerate(texts) if self.words and SIMPLE.fullmatch(t) and not (self.specials and self.specials.search(t))]

@@ -59,17 +59,24 @@ class Splitter:
 
 
 class Kept(dict):
-    """Ids of pre-tokens as bytes; begun anew when `most` are held, so that its memory is bounded."""
+    """Ids of pre-tokens as bytes, in two generations of `most` at most, so that its memory is bounded.
 
-    def __init__(self, encode, most: int = 400_000, longest: int = 64):
+    When the new generation is full it becomes the old one; what is used again of the old one moves to the new one.
+    """
+
+    def __init__(self, encode, most: int = 350_000, longest: int = 64):
         super().__init__()
-        self.encode, self.most, self.longest = encode, most, longest
+        self.encode, self.most, self.longest, self.old = encode, most, longest, {}
 
     def ids(self, texts: list[list[str]]) -> list[bytes]:
         """Ids of each text's pieces, joined, as little-endian unsigned 32-bit integers."""
         if len(self) > self.most:
+            self.old = dict(self)
             self.clear()
         new = set().union(*texts).difference(self)
+        again = new.intersection(self.old)
+        self.update((p, self.old[p]) for p in again)
+        new -= again
         long = {p for p in new if len(p) > self.longest}
         new = list(new)
         self.update(zip(new, self.encode(new)))

@@ -91,10 +91,12 @@ def sample_per_class(df: DataFrame, cls: str, n: int, replace: bool = False, see
     sizes = df.groupBy(cls).agg(F.count(F.lit(1)).alias("_n"))
     u = F.pmod(key, F.lit(1 << 52)) / float(1 << 52)
     rate = F.lit(float(n)) / F.col("_n")
-    cdf, term, times = F.exp(-rate), F.exp(-rate), F.lit(0)
-    for k in range(1, 40):
-        times = times + F.when(u >= cdf, 1).otherwise(0)
-        term = term * rate / k
-        cdf = cdf + term
+    start = F.struct(F.exp(-rate).alias("term"), F.exp(-rate).alias("sum"), F.lit(0).alias("k"))
+
+    def step(acc: Column, x: Column) -> Column:
+        term = acc["term"] * rate / x
+        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"), (acc["k"] + F.when(u >= acc["sum"], 1).otherwise(0)).alias("k"))
+
+    times = F.aggregate(F.sequence(F.lit(1), F.lit(100)), start, step, lambda acc: acc["k"])
     out = df.join(sizes, cls).withColumn("_times", times)
     return out.where("_times > 0").withColumn("_t", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_t", "_times", "_n")

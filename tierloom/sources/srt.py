@@ -19,7 +19,7 @@ def parse_blocks(df: DataFrame, block: str) -> DataFrame:
     """Add t1, t2 in seconds and `text` for each subtitle block; other text is left out."""
     b = F.regexp_replace(F.col(block), "\r", "")
     rows = df.withColumn("_b", b).where(F.col("_b").rlike(LINE))
-    return rows.withColumns({"t1": _seconds(F.col("_b"), 1), "t2": _seconds(F.col("_b"), 5), "text": F.rtrim(F.regexp_extract("_b", LINE, 9))}).drop("_b", block)
+    return rows.withColumns({"t1": _seconds(F.col("_b"), 1), "t2": _seconds(F.col("_b"), 5), "text": F.regexp_replace(F.regexp_extract("_b", LINE, 9), r"\s+$", "")}).drop("_b", block)
 
 
 def read_srt(spark: SparkSession, path: str) -> DataFrame:
