@@ -58,41 +58,65 @@ def butterworth(order: int, cut: tuple[float, ...], fs: float, kind: str = "low"
     return sos
 
 
+#: Samples that a section filters by one matrix product.
+BLOCK = 32
+
+
+@lru_cache(maxsize=1024)
+def _block(section: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Matrices of BLOCK steps of a section in state-space form: outputs by inputs and by the state, the state after them by inputs and by the state."""
+    b0, b1, b2, _, a1, a2 = np.frombuffer(section).tolist()
+    a = np.array([[-a1, 1.0], [-a2, 0.0]])
+    b = np.array([b1 - a1 * b0, b2 - a2 * b0])
+    power = [np.eye(2)]
+    for _ in range(BLOCK):
+        power.append(a @ power[-1])
+    seen = np.array([p[0] for p in power[:BLOCK]])  # the first state is what the output sees
+    impulse = np.concatenate([[b0], seen[: BLOCK - 1] @ b])
+    lag = np.arange(BLOCK)[:, None] - np.arange(BLOCK)[None, :]
+    outputs = np.where(lag >= 0, impulse[np.maximum(lag, 0)], 0.0)
+    return outputs, seen, np.array([p @ b for p in power[:BLOCK]][::-1]).T, power[BLOCK]
+
+
 def _section(s: np.ndarray, x: np.ndarray, z: np.ndarray) -> np.ndarray:
-    """One second-order section, transposed direct form II, started from the state z."""
-    b0, b1, b2, _, a1, a2 = s.tolist()
-    z1, z2 = z.tolist()
-    out = []
-    for v in x.tolist():
-        y = b0 * v + z1
-        z1, z2 = b1 * v - a1 * y + z2, b2 * v - a2 * y
-        out.append(y)
-    return np.array(out)
-
-
-def sosfilt(sos: np.ndarray, x: np.ndarray, steady: float | None = None) -> np.ndarray:
-    """Filter; with `steady` from the state that the constant input `steady` would have left."""
-    level = 0.0 if steady is None else steady
+    """One second-order section over the last axis, started from the states z (..., 2)."""
+    outputs, seen, gather, carry = _block(np.ascontiguousarray(s, float).tobytes())
+    n = x.shape[-1]
+    full = np.pad(x, [(0, 0)] * (x.ndim - 1) + [(0, -n % BLOCK)]).reshape(*x.shape[:-1], -1, BLOCK)
+    # states at the start of each block, by doubling: after step i they hold what the last 2 ** i blocks pushed
+    states = np.concatenate([z[..., None, :], (full @ gather.T)[..., :-1, :]], -2)
+    step = 1
+    while step < states.shape[-2]:
+        states[..., step:, :] += states[..., :-step, :] @ carry.T
+        step, carry = 2 * step, carry @ carry
+    y = full @ outputs.T + states @ seen.T
+    return y.reshape(*x.shape[:-1], -1)[..., :n]
+
+
+def sosfilt(sos: np.ndarray, x: np.ndarray, steady: np.ndarray | None = None) -> np.ndarray:
+    """Filter along the last axis; with `steady` from the state that the constant input `steady` would have left."""
+    x = np.asarray(x, float)
+    level = np.zeros(x.shape[:-1]) if steady is None else np.asarray(steady, float)
     for s in sos:
-        gain = s[:3].sum() / s[3:].sum()
-        out = level * gain
+        out = level * (s[:3].sum() / s[3:].sum())
         z2 = s[2] * level - s[5] * out
-        x, level = _section(s, x, np.array([s[1] * level - s[4] * out + z2, z2])), out
+        x, level = _section(s, x, np.stack([s[1] * level - s[4] * out + z2, z2], -1)), out
     return x
 
 
 def filtfilt(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Zero-phase filtering with odd extension at both ends."""
+    """Zero-phase filtering along the last axis, with odd extension at both ends."""
     x = np.asarray(x, float)
-    if not len(x):
+    n = x.shape[-1]
+    if not n:
         return x
     edge = 3 * (2 * len(sos) + 1 - min((sos[:, 2] == 0).sum(), (sos[:, 5] == 0).sum()))
-    edge = int(min(edge, len(x) - 1))
+    edge = int(min(edge, n - 1))
     if edge:
-        x = np.concatenate([2 * x[0] - x[edge:0:-1], x, 2 * x[-1] - x[-2 : -edge - 2 : -1]])
-    y = sosfilt(sos, x, x[0])
-    y = sosfilt(sos, y[::-1], y[-1])[::-1]
-    return y[edge : len(y) - edge] if edge else y
+        x = np.concatenate([2 * x[..., :1] - x[..., edge:0:-1], x, 2 * x[..., -1:] - x[..., -2 : -edge - 2 : -1]], -1)
+    y = sosfilt(sos, x, x[..., 0])
+    y = sosfilt(sos, y[..., ::-1], y[..., -1])[..., ::-1]
+    return y[..., edge : edge + n]
 
 
 def prepare(x: np.ndarray, fs: float, target_fs: float | None = 22050, pre: float = 0.0, scale: bool = True, outtype: str = "float") -> tuple[np.ndarray, float]:
