@@ -592,9 +592,15 @@ def sample_with_replacement(spark, d):
     return series.sample_per_class(read(spark, d, "events").select("event_id", "event_type", "value"), "event_type", 20, True, 1, ["event_id"])
 
 
+def _register() -> None:
+    from tierloom.plans import signal_catalogue  # noqa: F401  its queries are registered as it is imported
+
+
 def queries() -> dict[str, Query]:
+    _register()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _register()
     return dict(_SQL)

@@ -1,7 +1,7 @@
 """Signal operators on tables of signals (*keys, fs, y), one row for each recording and channel.
 
 A kernel sees one signal at a time, so no shuffle is needed: rows go to Python workers as Arrow batches and come back as
-measures. Columns that a kernel doesn't need should be dropped first.
+measures. Columns that a kernel doesn't need aren't sent.
 """
 
 from __future__ import annotations
@@ -11,36 +11,68 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tierloom.dsp import filters, hearing, spectra, voice
 
 Kernel = Callable[[np.ndarray, float, dict], list[dict] | dict[str, np.ndarray]]
+ARROW = {"double": pa.float64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string(), "array<double>": pa.list_(pa.float64()), "array<smallint>": pa.list_(pa.int16())}
+#: Measures are handed back in batches of about so many numbers.
+BATCH = 1 << 20
+
+
+def _column(parts: list, kind: pa.DataType) -> pa.Array:
+    """One column from the arrays or lists of each signal; NaN becomes null."""
+    if pa.types.is_floating(kind):
+        return pa.array(np.concatenate([np.asarray([np.nan if v is None else v for v in p] if isinstance(p, list) else p, float) for p in parts]), kind, from_pandas=True)
+    return pa.array([v for p in parts for v in (p.tolist() if isinstance(p, np.ndarray) and p.ndim == 1 else p)], kind)
 
 
 def measure(signals: DataFrame, keys: Sequence[str], kernel: Kernel, schema: str, extra: Sequence[str] = ()) -> DataFrame:
     """Rows of `kernel(y, fs, row)` for each signal, with its keys; NaN becomes null. Null and empty signals give no rows."""
     cols = [c.split()[0] for c in schema.split(", ")]
-    kinds = dict(signals.dtypes)
-    shape = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), schema])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for row in pdf.to_dict("records"):
-                if row["y"] is None or not len(row["y"]):
+    kinds = [ARROW[c.split()[1]] for c in schema.split(", ")]
+    types = dict(signals.dtypes)
+    shape = ", ".join([*(f"`{k}` {types[k]}" for k in keys), schema])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts: list[list] = [[] for _ in cols]
+            sizes: list[int] = []
+            rows: list[int] = []
+            waiting = 0
+
+            def built() -> pa.RecordBatch:
+                at = pa.array(np.repeat(rows, sizes))
+                taken = [batch.column(names.index(k)).take(at) for k in keys]
+                return pa.RecordBatch.from_arrays([*taken, *map(_column, parts, kinds)], names=[*keys, *cols])
+
+            names = batch.schema.names
+            small = batch.select([c for c in names if c != "y"]).to_pylist()
+            signal = batch.column(names.index("y"))
+            for i, row in enumerate(small):
+                y = signal[i].values
+                if y is None or not len(y) or row["fs"] is None:
+                    continue
+                found = kernel(np.asarray(y.to_numpy(zero_copy_only=False), float), float(row["fs"]), row)
+                own = [[r[c] for r in found] for c in cols] if isinstance(found, list) else [found[c] for c in cols]
+                if not len(own[0]):
                     continue
-                found = kernel(np.asarray(row["y"], float), float(row["fs"]), row)
-                out = pd.DataFrame(found, columns=cols) if isinstance(found, list) else pd.DataFrame({c: found[c] for c in cols})
-                for c in cols:
-                    if out[c].dtype.kind == "f":
-                        out[c] = out[c].astype(object).where(out[c].notna(), None)
-                for k in reversed(keys):
-                    out.insert(0, k, [row[k]] * len(out))
-                yield out
+                for part, new in zip(parts, own):
+                    part.append(new)
+                    waiting += sum(np.size(v) for v in new) if isinstance(new, list) else np.size(new)
+                rows.append(i)
+                sizes.append(len(own[0]))
+                if waiting >= BATCH:
+                    yield built()
+                    parts, sizes, rows, waiting = [[] for _ in cols], [], [], 0
+            if rows:
+                yield built()
 
     needed = [*dict.fromkeys([*keys, *extra]), "fs", "y"]
-    return signals.select(*needed).mapInPandas(run, shape)
+    return signals.select(*needed).mapInArrow(run, shape)
 
 
 def seeded(seed: int, row: dict, keys: Sequence[str]) -> np.random.Generator:
@@ -233,7 +265,7 @@ def smoothn(signals: DataFrame, keys: Sequence[str], s: float = 1.0, robust: boo
 def sine_synth(tracks: DataFrame, keys: Sequence[str], fs: float = 16000) -> DataFrame:
     """Signals from formant tracks (*keys, sec, rms, F1..F4): one recording's track, 100 rows a second, is one group."""
     cols = ["sec", "rms", "F1", "F2", "F3", "F4"]
-    packed = tracks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*[F.col(c).cast("double") for c in cols]))).alias("track"))
+    packed = tracks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in cols]))).alias("track"))
     kinds = dict(packed.dtypes)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
