@@ -32,5 +32,5 @@ def delta_f_norm(df: DataFrame, keys: Sequence[str] = (), factor: float | None =
         w = Window.partitionBy(*keys)
         out = df.withColumn("deltaF", _spacing(formants, lambda x: x.over(w)))
     else:
-        out = df.crossJoin(F.broadcast(delta_f(df, formants=formants)))  # one row
+        out = df.withColumn("deltaF", delta_f(df, formants=formants).scalar())
     return out.withColumns({f"{f}{suffix}": F.col(f) / F.col("deltaF") for f in formants})

@@ -450,8 +450,8 @@ def hz2bark_scale(spark, d):
 @query(f"""SELECT l_orderkey, l_linenumber, {SQL_R.format('10 * log10(hz)')} AS db, {SQL_R.format('20 * log10(hz / max(hz) OVER ())')} AS amp FROM {PRICE}""")
 def db_scale(spark, d):
     rows = prices(spark, d)
-    top = rows.agg(F.max("hz").alias("top"))  # one row
-    return rows.crossJoin(F.broadcast(top)).select("l_orderkey", "l_linenumber", r4(scales.db(F.col("hz"))).alias("db"), r4(scales.amplitude_db(F.col("hz"), F.col("top"))).alias("amp"))
+    top = rows.agg(F.max("hz").alias("top")).scalar()
+    return rows.select("l_orderkey", "l_linenumber", r4(scales.db(F.col("hz"))).alias("db"), r4(scales.amplitude_db(F.col("hz"), top)).alias("amp"))
 
 
 @query(f"SELECT l_orderkey, l_linenumber, {SQL_R.format('550 * ln(1 + hz / 550)')} AS mel, {SQL_R.format('12 * ln(hz / 100) / ln(2)')} AS st, {SQL_R.format('11.17::DOUBLE * ln((hz + 312) / (hz + 14680)) + 43')} AS erb FROM {PRICE}")
