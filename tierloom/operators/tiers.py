@@ -1,4 +1,7 @@
-"""Operators on tiers: context, explosion, gaps, runs, checks, speakers, contours."""
+"""Operators on tiers: context, explosion, gaps, runs, checks, speakers, contours.
+
+With `width`, a span of time (the first column of the order), recordings too long for one task are handled in slices.
+"""
 
 from __future__ import annotations
 
@@ -7,17 +10,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tierloom.operators.asof import last_known
+from tierloom.operators.slices import running, shifted
 
-def add_context(df: DataFrame, col: str, n_prev: int, n_next: int, keys: Sequence[str], order: Sequence[str], prefixes: tuple[str, str] = ("prev_", "next_"), fill: str = "", context: str | None = None, sep: str = " ") -> DataFrame:
+def add_context(df: DataFrame, col: str, n_prev: int, n_next: int, keys: Sequence[str], order: Sequence[str], prefixes: tuple[str, str] = ("prev_", "next_"), fill: str = "", context: str | None = None, sep: str = " ", width: float | None = None) -> DataFrame:
     """Labels of the rows before and after, as columns around `col`; `context` joins them all."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    before = {f"{prefixes[0]}{col}{k}": F.coalesce(F.lag(col, k).over(w), F.lit(fill)) for k in range(n_prev, 0, -1)}
-    after = {f"{prefixes[1]}{col}{k}": F.coalesce(F.lead(col, k).over(w), F.lit(fill)) for k in range(1, n_next + 1)}
+    before = {f"{prefixes[0]}{col}{k}": (col, k) for k in range(n_prev, 0, -1)}
+    after = {f"{prefixes[1]}{col}{k}": (col, -k) for k in range(1, n_next + 1)}
     names = [*before, *after, *([context] if context else [])]
     if len(set(names)) < len(names) or set(names) & set(df.columns):
         raise ValueError("context columns repeat or exist")
     at = df.columns.index(col)
-    out = df.withColumns(before | after).select(*df.columns[:at], *before, col, *after, *df.columns[at + 1 :])
+    filled = lambda names: [F.coalesce(c, F.lit(fill)).alias(c) for c in names]
+    out = shifted(df, keys, order, before | after, width).select(*df.columns[:at], *filled(before), col, *filled(after), *df.columns[at + 1 :])
     if context:
         out = out.withColumn(context, F.concat_ws(sep, *[F.coalesce(F.col(c).cast("string"), F.lit(fill)) for c in (*before, col, *after)]))
     return out
@@ -34,13 +39,12 @@ def explode_intervals(df: DataFrame, divs: int | Sequence[float], t1: str = "t1"
     return out.withColumn(f"{prefix}t", start + length * F.col(f"{prefix}id"))
 
 
-def fill_gaps(df: DataFrame, keys: Sequence[str], label: str, t1: str = "t1", t2: str = "t2", start: float | None = None, end: float | None = None, fill: str = "") -> DataFrame:
+def fill_gaps(df: DataFrame, keys: Sequence[str], label: str, t1: str = "t1", t2: str = "t2", start: float | None = None, end: float | None = None, fill: str = "", width: float | None = None) -> DataFrame:
     """Add intervals labelled `fill` between intervals that don't meet, before the first (`start`) and after the last (`end`)."""
-    w = Window.partitionBy(*keys).orderBy(t1, t2)
     rows = df.select(*keys, t1, t2, label)
     kind = dict(rows.dtypes)[t1]
-    follows = F.coalesce(F.lead(t1).over(w), F.lit(end).cast(kind))
-    after = rows.select(*keys, F.col(t2).alias(t1), follows.alias(t2), F.lit(fill).alias(label)).where(F.col(t1) < F.col(t2))
+    follows = F.coalesce("_next", F.lit(end).cast(kind))
+    after = shifted(rows, keys, [t1, t2], {"_next": (t1, -1)}, width).select(*keys, F.col(t2).alias(t1), follows.alias(t2), F.lit(fill).alias(label)).where(F.col(t1) < F.col(t2))
     out = rows.unionByName(after)
     if start is not None:
         first = rows.groupBy(*keys).agg(F.min(t1).alias(t2)).where(F.col(t2) > start)
@@ -48,34 +52,38 @@ def fill_gaps(df: DataFrame, keys: Sequence[str], label: str, t1: str = "t1", t2
     return out
 
 
-def nonzero_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: Column, min_len: int = 1, include_any: Column | None = None) -> DataFrame:
+def nonzero_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: Column, min_len: int = 1, include_any: Column | None = None, width: float | None = None) -> DataFrame:
     """Maximal runs of rows for which `flag` holds: (*keys, run, first, last, length), positions from 0.
 
     Runs shorter than `min_len` are left out, and those without a row for which `include_any` holds.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    rows = df.select(*keys, (F.row_number().over(w) - 1).alias("_at"), F.coalesce(flag, F.lit(False)).alias("_on"), (F.lit(True) if include_any is None else include_any).alias("_any"))
-    rows = rows.where("_on").withColumn("_group", F.col("_at") - F.row_number().over(Window.partitionBy(*keys).orderBy("_at")))
+    rows = df.select(*keys, *order, F.coalesce(flag, F.lit(False)).alias("_on"), (F.lit(True) if include_any is None else include_any).alias("_any")).withColumns({"_one": F.lit(1), "_off": F.when(F.col("_on"), 0).otherwise(1)})
+    if width is None:
+        # rows of a run have the same number of rows that aren't on before them
+        w = Window.partitionBy(*keys).orderBy(*order)
+        rows = rows.withColumns({"_at": F.row_number().over(w) - 1, "_group": F.sum("_off").over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    else:
+        for new, value in (("_at", "_one"), ("_group", "_off")):
+            rows = running(rows, keys, order, new, value, "sum", width).withColumn(new, F.coalesce(new, F.lit(0)))
+    rows = rows.where("_on")
     runs = rows.groupBy(*keys, "_group").agg(F.min("_at").alias("first"), F.max("_at").alias("last"), F.count(F.lit(1)).alias("length"), F.max("_any").alias("_any"))
     runs = runs.where((F.col("length") >= min_len) & F.col("_any"))
     return runs.select(*keys, (F.row_number().over(Window.partitionBy(*keys).orderBy("first")) - 1).alias("run"), "first", "last", "length")
 
 
-def validate_tier(df: DataFrame, keys: Sequence[str], t1: str = "t1", t2: str = "t2") -> DataFrame:
+def validate_tier(df: DataFrame, keys: Sequence[str], t1: str = "t1", t2: str = "t2", width: float | None = None) -> DataFrame:
     """Counts of broken rules for each tier: starts or ends that don't increase, intervals that don't end after their start, overlaps."""
-    w = Window.partitionBy(*keys).orderBy(t1, t2)
-    before1, before2 = F.lag(t1).over(w), F.lag(t2).over(w)
-    marked = df.select(*keys, (F.col(t1) <= before1).alias("a"), (F.col(t2) <= before2).alias("b"), (F.col(t2) <= F.col(t1)).alias("c"), (F.col(t1) < before2).alias("d"))
+    before1, before2 = F.col("_before1"), F.col("_before2")
+    marked = shifted(df.select(*keys, t1, t2), keys, [t1, t2], {"_before1": (t1, 1), "_before2": (t2, 1)}, width).select(*keys, (F.col(t1) <= before1).alias("a"), (F.col(t2) <= before2).alias("b"), (F.col(t2) <= F.col(t1)).alias("c"), (F.col(t1) < before2).alias("d"))
     return marked.groupBy(*keys).agg(F.count_if("a").alias("bad_starts"), F.count_if("b").alias("bad_ends"), F.count_if("c").alias("bad_lengths"), F.count_if("d").alias("overlaps"))
 
 
-def overlaps(df: DataFrame, keys: Sequence[str], t1: str = "t1", t2: str = "t2") -> DataFrame:
+def overlaps(df: DataFrame, keys: Sequence[str], t1: str = "t1", t2: str = "t2", width: float | None = None) -> DataFrame:
     """Rows that start before an earlier row of the same keys has ended, with that end as `prev_end`."""
-    w = Window.partitionBy(*keys).orderBy(t1, t2).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("prev_end", F.max(t2).over(w)).where(F.col("prev_end") > F.col(t1))
+    return running(df, keys, [t1, t2], "prev_end", t2, "max", width).select(*df.columns, "prev_end").where(F.col("prev_end") > F.col(t1))
 
 
-def split_speakers(df: DataFrame, keys: Sequence[str], order: Sequence[str], text: str = "text", sep: str | None = None, ffill: bool = True, include: Sequence[str] = (), exclude: Sequence[str] = (), max_split: int | None = None) -> DataFrame:
+def split_speakers(df: DataFrame, keys: Sequence[str], order: Sequence[str], text: str = "text", sep: str | None = None, ffill: bool = True, include: Sequence[str] = (), exclude: Sequence[str] = (), max_split: int | None = None, width: float | None = None) -> DataFrame:
     """Split `speaker<sep>text`: columns `speaker` and the text.
 
     Only texts with exactly two parts name a speaker (unless `max_split` is 1); others keep their first part and take the speaker before
@@ -88,8 +96,7 @@ def split_speakers(df: DataFrame, keys: Sequence[str], order: Sequence[str], tex
     out = df.withColumn("_parts", parts).withColumn("speaker", F.when(two, F.get("_parts", F.lit(0))))
     out = out.withColumn(text, F.when(two, F.get("_parts", F.lit(1))).otherwise(F.get("_parts", F.lit(0)))).drop("_parts")
     if ffill:
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        out = out.withColumn("speaker", F.last("speaker", ignorenulls=True).over(w))
+        out = last_known(out.withColumnRenamed("speaker", "_named"), keys, order[0], order[1:], {"speaker": "_named"}, width).drop("_named")
     out = out.withColumn("speaker", F.coalesce("speaker", F.lit("*")))
     if include or exclude:
         known = [*include, *exclude, "*"]
