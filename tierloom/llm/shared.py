@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A key is hot if it has more rows than this, or than the 20,000th part of all rows if that is more.
@@ -47,6 +47,12 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(table))
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 
+    def measured(self, df: DataFrame, table: str, value: Column) -> tuple[DataFrame, int | None]:
+        """`save`, and an aggregate of the rows, taken as they are written."""
+        seen = Observation()
+        df.observe(seen, value.alias("value")).write.mode("overwrite").option("compression", "zstd").parquet(self.path(table))
+        return self.spark.read.schema(df.schema).parquet(self.path(table)), seen.get["value"]
+
     def drop(self, *tables: str) -> None:
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
@@ -55,6 +61,13 @@ class Scratch:
             at.getFileSystem(conf).delete(at, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send at most `rows` rows at once to Python workers: whole texts are large, and a batch is held several times over."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def fold(doc_id: str | Column = "doc_id") -> Column:
     """crc32 of the id as text, mod 5: rows with 0 are held out, rows with null ids have null."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -65,6 +78,22 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(fold(doc_id) == 0, F.lit(False))
 
 
+def first_by_hash(rows: DataFrame, cls: str, most: Column | int, order: list[str]) -> DataFrame:
+    """The `most` rows of each class whose `order` comes first, with their number `k` from 1; `order` begins with a uniform hash.
+
+    Rows whose hash is far beyond what the class's size lets expect are left out before the shuffle, so what is sorted
+    doesn't grow with the input. Classes that then have too few are too few in any case, with a chance of 1 in a billion.
+    """
+    sizes = rows.groupBy(cls).agg(F.count(F.lit(1)).alias("_n"))
+    want = F.lit(most).cast("double") if isinstance(most, int) else most.cast("double")
+    share = (want + 6 * F.sqrt(want) + 40) / F.col("_n")
+    # hashes are signed: -2**63 is the first
+    bound = F.when(share >= 1, F.lit(2**63 - 1)).otherwise((F.least(share, F.lit(1.0)) * 2.0**64 - 2.0**63).cast("long"))
+    near = rows.join(sizes.select(cls, bound.alias("_bound")), cls).where(F.col(order[0]) <= F.col("_bound")).drop("_bound")
+    number = F.row_number().over(Window.partitionBy(cls).orderBy(*order))
+    return near.withColumn("k", number).where(F.col("k") <= want)
+
+
 def hot_rows(n_rows: int) -> int:
     return max(HOT_ROWS, n_rows // HOT_KEYS)
 
