@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierloom.llm.shared import Scratch, attach
+from tierloom.llm.shared import Scratch, attach, small_batches
 from tierloom.llm.words import WORD, Words, buffers, chunks, mix, prefix, spans, words
 
 WINDOW, SHINGLE = 20, 5
@@ -111,15 +111,15 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(document, text, first extensions, those compared by window, first windows of these) to verdicts."""
+    """(text, first extensions, those compared by window, first windows of these, other columns) to verdicts and other columns."""
     for batch in batches:
-        data, offsets = buffers(batch.column(1))
+        data, offsets = buffers(batch.column(0))
         for low, high in chunks(offsets):
             w = words(data, offsets, low, high)
             new, end, _ = extensions(w)
-            first, single = (_picked(w, new, batch.column(c), low, high) for c in (2, 3))
+            first, single = (_picked(w, new, batch.column(c), low, high) for c in (1, 2))
             at = _ranges(new[single], end[single])
-            at = at[~_picked(w, at, batch.column(4), low, high)]
+            at = at[~_picked(w, at, batch.column(3), low, high)]
             change = np.zeros(len(w.hash) + 1, np.int64)
             np.add.at(change, np.concatenate([new[~first], at]), 1)
             np.add.at(change, np.concatenate([end[~first] + WINDOW - 1, at + WINDOW]), -1)
@@ -144,8 +144,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for o, v in zip(out, (removed, hashlib.sha256(b" ".join(kept)).hexdigest(), cuts, text.decode())):
                     o.append(v)
             kinds = (pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())])), pa.large_string())
-            cols = [batch.column(0).slice(low, high - low), pa.array(n_words.astype(np.int64)), *(pa.array(o, t) for o, t in zip(out, kinds))]
-            yield pa.RecordBatch.from_arrays(cols, names=["_seq", "n_words", "n_removed", "kept_sha256", "repeats", "kept_text"])
+            cols = [pa.array(n_words.astype(np.int64)), *(pa.array(o, t) for o, t in zip(out, kinds)), *(c.slice(low, high - low) for c in batch.columns[4:])]
+            yield pa.RecordBatch.from_arrays(cols, names=["n_words", "n_removed", "kept_sha256", "repeats", "kept_text", *batch.schema.names[4:]])
 
 
 ROWS = "anchor long, ext long, pos long"
@@ -161,6 +161,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     work = Scratch(spark, "substring")
+    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
     ids = rows.agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("low"), F.max("_id").alias("high"), F.count("_id").alias("known")).first()
     unique = ids["n"] == ids["known"] and (not ids["n"] or (ids["low"] >= 0 and ids["high"] < MOST_DOCS))
@@ -189,10 +190,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     asked = text.join(lists.where(F.size("single") > 0).select("_seq", "single"), "_seq").select("_seq", "text", "single")
     seen = asked.mapInArrow(_windows, ROWS).groupBy("anchor", "ext").agg(F.min("pos").alias("pos"))
     seen = work.save(seen.groupBy(seq.alias("_seq")).agg(F.collect_list(start).alias("seen")), "windows")
-    found = text.join(lists.join(seen, "_seq", "left"), "_seq", "left").select("_seq", "text", "first", "single", "seen")
-    cut = found.mapInArrow(_cut, "_seq long, n_words long, n_removed long, kept_sha256 string, repeats array<struct<start:int,length:int>>, kept_text string")
-    if not unique or keep:
-        cut = cut.join(rows.select("_seq", "_id", *[f"_keep_{c}" for c in keep]), "_seq")
-    else:
-        cut = cut.withColumn("_id", F.col("_seq"))
+    more = ["_id", *[f"_keep_{c}" for c in keep]]
+    found = rows.join(lists.join(seen, "_seq", "left"), "_seq", "left").select("text", "first", "single", "seen", *more)
+    kinds = dict(found.dtypes)
+    cut = found.mapInArrow(_cut, "n_words long, n_removed long, kept_sha256 string, repeats array<struct<start:int,length:int>>, kept_text string, " + ", ".join(f"`{c}` {kinds[c]}" for c in more))
     return cut.select(F.col("_id").alias(id_col), "n_words", "n_removed", "kept_sha256", "repeats", "kept_text", *[F.col(f"_keep_{c}").alias(c) for c in keep])

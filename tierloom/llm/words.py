@@ -19,7 +19,7 @@ LOWER = VALUES.copy()
 LOWER[65:91] = LOWER[97:123]
 BYTE, WORD = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 #: Texts are taken together up to so many bytes, words are hashed so many at a time.
-CHUNK_BYTES, HASH_WORDS = 1 << 20, 1 << 17
+CHUNK_BYTES, HASH_WORDS = 1 << 18, 1 << 15
 _POWERS: dict[int, np.ndarray] = {}
 
 
