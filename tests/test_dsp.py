@@ -143,6 +143,21 @@ def test_stimuli():
     assert np.abs(np.fft.rfft(s)).argmax() * FS / len(s) in (500, 1500, 2500, 3500)
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 8, 9, 100])
+def test_dct_is_its_definition(n):
+    x, k = np.random.default_rng(n).normal(size=n), np.arange(n)
+    basis = np.cos(np.pi * k[:, None] * (k[None, :] + 0.5) / n) * np.where(k == 0, np.sqrt(1 / n), np.sqrt(2 / n))[:, None]
+    assert np.allclose(spectra.dct2(x), basis @ x) and np.allclose(spectra.dct2(x, True), basis.T @ x)
+
+
+def test_parts_change_nothing(monkeypatch):
+    whole = [f(vowel(), FS) for f in (voice.f0_residual, voice.f0_autocorrelation, voice.f0_spectral, voice.formants_lpc)]
+    monkeypatch.setattr(spectra, "PART", 5000)
+    for f, want in zip((voice.f0_residual, voice.f0_autocorrelation, voice.f0_spectral, voice.formants_lpc), whole):
+        got = f(vowel(), FS)
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], equal_nan=True) for k in want)
+
+
 def test_smoothn_and_peak_rms():
     y = np.sin(np.arange(200) / 20)
     noisy = y + np.random.default_rng(0).normal(0, 0.2, 200)

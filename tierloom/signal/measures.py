@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from tierloom.dsp import filters, hearing, spectra, voice
 
-Kernel = Callable[[np.ndarray, float, dict], list[dict] | dict[str, np.ndarray]]
+#: Gives rows, columns, or an iterator of either for signals whose measures shouldn't be held at once.
+Kernel = Callable[[np.ndarray, float, dict], list[dict] | dict[str, np.ndarray] | Iterator[list[dict]]]
 ARROW = {"double": pa.float64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string(), "array<double>": pa.list_(pa.float64()), "array<smallint>": pa.list_(pa.int16())}
 #: Measures are handed back in batches of about so many numbers.
 BATCH = 1 << 20
@@ -57,17 +58,18 @@ def measure(signals: DataFrame, keys: Sequence[str], kernel: Kernel, schema: str
                 if y is None or not len(y) or row["fs"] is None:
                     continue
                 found = kernel(np.asarray(y.to_numpy(zero_copy_only=False), float), float(row["fs"]), row)
-                own = [[r[c] for r in found] for c in cols] if isinstance(found, list) else [found[c] for c in cols]
-                if not len(own[0]):
-                    continue
-                for part, new in zip(parts, own):
-                    part.append(new)
-                    waiting += sum(np.size(v) for v in new) if isinstance(new, list) else np.size(new)
-                rows.append(i)
-                sizes.append(len(own[0]))
-                if waiting >= BATCH:
-                    yield built()
-                    parts, sizes, rows, waiting = [[] for _ in cols], [], [], 0
+                for some in found if isinstance(found, Iterator) else [found]:
+                    own = [[r[c] for r in some] for c in cols] if isinstance(some, list) else [some[c] for c in cols]
+                    if not len(own[0]):
+                        continue
+                    for part, new in zip(parts, own):
+                        part.append(new)
+                        waiting += sum(np.size(v) for v in new) if isinstance(new, list) else np.size(new)
+                    rows.append(i)
+                    sizes.append(len(own[0]))
+                    if waiting >= BATCH:
+                        yield built()
+                        parts, sizes, rows, waiting = [[] for _ in cols], [], [], 0
             if rows:
                 yield built()
 
@@ -155,8 +157,7 @@ def compute_sgram(signals: DataFrame, keys: Sequence[str], window: float = 0.008
     """One row for each frame; bin k is at k * fs / nfft."""
 
     def kernel(y, fs, row):
-        _, sec, levels = spectra.spectrogram(y, fs, window, nfft=nfft)
-        return [{"frame": i, "sec": s, "mag": m} for i, (s, m) in enumerate(zip(sec, levels))]
+        return ([{"frame": first + i, "sec": s, "mag": m} for i, (s, m) in enumerate(zip(sec, levels))] for first, sec, levels in spectra.spectrogram_parts(y, fs, window, nfft=nfft))
 
     return measure(signals, keys, kernel, "frame int, sec double, mag array<double>")
 
@@ -167,9 +168,11 @@ def sgram(signals: DataFrame, keys: Sequence[str], start: float = 0, end: float
     def kernel(y, fs, row):
         y = y[int(start * fs) : len(y) if end < 0 else int(end * fs)]
         y, rate = filters.prepare(y, fs, 2 * tf, preemph)
-        _, sec, levels = spectra.spectrogram(y, rate, 0.008 if band == "wb" else 0.04)
-        pick = range(len(sec)) if slice_time < 0 or not len(sec) else [int(np.abs(sec + start - slice_time).argmin())]
-        return [{"frame": i, "sec": sec[i] + start, "mag": levels[i]} for i in pick]
+        found = spectra.spectrogram_parts(y, rate, 0.008 if band == "wb" else 0.04)
+        rows = ({"frame": first + i, "sec": s + start, "mag": m} for first, sec, levels in found for i, (s, m) in enumerate(zip(sec, levels)))
+        if slice_time >= 0:
+            return [min(rows, key=lambda r: abs(r["sec"] - slice_time))] if len(y) >= int(rate * 0.04) else []
+        return ([r] for r in rows)
 
     return measure(signals, keys, kernel, "frame int, sec double, mag array<double>")
 
