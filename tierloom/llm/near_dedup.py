@@ -6,12 +6,12 @@ darts that depends on the element alone, each with a rank and a coordinate. The
 coordinate. Regions double in rank from level to level, and a document stops when all coordinates
 are hit, so large documents look at the first regions only and small ones at many.
 
-Documents of equal words are one representative first. Signatures are cut into bands; representatives that share
-a band are a bucket. The pairs of a bucket aren't listed: each member is compared with the bucket's hub, by the
-shingles themselves. Members of other classes than their hubs' are dealt anew, to buckets that share a band more, of three other
-bands each, with hubs of their own; buckets of SMALL members and less are compared whole then. So the comparisons grow with
-the members, and a link can only be missed between two members that are both unlike all their hubs and
-part in each of those rounds. Classes are connected components.
+Documents of equal words are one representative first. Signatures are cut into bands; representatives that share a
+band are a bucket. Buckets of SMALL members at most are compared whole: their texts meet in one task, where pairs
+whose signatures agree often enough are compared by the shingles themselves. In larger buckets all pairs
+would be too many: each member is compared with the bucket's hub. If SMALL members at most don't belong with the hub
+then, these are compared with all others, in blocks. Otherwise all members are dealt anew, to buckets that share one
+more band each, for several other bands. So comparisons grow with the members. Classes are connected components.
 """
 
 from __future__ import annotations
@@ -21,10 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tierloom.llm.shared import Scratch, attach, counted
+from tierloom.llm.components import components
+from tierloom.llm.shared import Scratch, attach, counted, small_batches, union
 from tierloom.llm.words import WORD, Words, buffers, chunks, mix, prefix, spans, words
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -32,8 +33,12 @@ SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 24, 4
 #: Darts per element in the first level; each level doubles the rank reached so far.
 FIRST = 1 / 16
-#: Bands that are joined to a band's key in later rounds, counted from it; and the bucket size up to which all members then meet.
-OFFSETS, SMALL = ((1, 5, 9), (2, 7, 12), (3, 10, 16), (4, 13, 18)), 8
+#: Bands that are joined to a band's key in later rounds, counted from it; each adds a band that is new to the key.
+OFFSETS = ((1, 5, 9), (2, 7, 12), (3, 10), (4, 13), (6, 11), (8, 15), (14, 17), (16, 19), (18, 21), (20, 22), (23,))
+#: Bucket size up to which all members are compared, and size of the blocks of a larger bucket that are compared with its few others.
+SMALL, BLOCK = 256, 256
+#: Coordinates in which two signatures must agree for the shingles to be compared: pairs as similar as SIMILAR have fewer with a chance of 1 in a million.
+AGREE = 58
 
 
 def elements(w: Words, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,91 +99,265 @@ def bands(signature: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) to (id, digest of the words, band keys); texts without words have no bands."""
+    """(id, text) to (id, digest of the words, band keys, a byte of each coordinate); texts without words have none."""
     for batch in batches:
         data, offsets = buffers(batch.column(1))
         for low, high in chunks(offsets):
             n = high - low
             w = words(data, offsets, low, high, lower=True)
-            found = bands(signatures(*elements(w, n), n))
+            signed = signatures(*elements(w, n), n)
             raw = [data[offsets[i] : offsets[i + 1]].tobytes() for i in range(low, high)]
             digest = [hashlib.sha256(b" ".join(r.lower().split())).digest()[:16] for r in raw]
             some = np.diff(w.first) > 0
             ends = np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(found[some].ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, n), pa.array(digest, pa.binary()), lists], names=["id", "digest", "bands"])
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(bands(signed)[some].ravel()))
+            sketch = [row.tobytes() for row in (mix(signed) >> np.uint64(56)).astype(np.uint8)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, n), pa.array(digest, pa.binary()), lists, pa.array(sketch, pa.binary())], names=["id", "digest", "bands", "sketch"])
+
+
+def shingled(ids: np.ndarray, texts: pa.Array) -> dict[int, np.ndarray]:
+    """Sorted elements of each text, by id; a text that comes several times is taken once."""
+    _, first = np.unique(ids, return_index=True)
+    data, offsets = buffers(texts.take(pa.array(first)))
+    out = []
+    for low, high in chunks(offsets):
+        doc, key = elements(words(data, offsets, low, high, lower=True), high - low)
+        out += np.split(key, np.searchsorted(doc, np.arange(1, high - low)))
+    return dict(zip(ids[first].tolist(), out))
+
+
+def similar(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
+    small, large = sorted((len(x), len(y)))
+    if not large or small < threshold * large:
+        return False
+    same = len(np.intersect1d(x, y, assume_unique=True))
+    return same >= threshold * (small + large - same)
 
 
 def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(a, b, text_a, text_b) to the pairs whose shingles are similar enough."""
         for batch in batches:
-            sides = []
-            for col in (batch.column(2), batch.column(3)):
-                data, offsets = buffers(col)
-                rows = []
-                for low, high in chunks(offsets):
-                    doc, key = elements(words(data, offsets, low, high, lower=True), high - low)
-                    rows += np.split(key, np.searchsorted(doc, np.arange(1, high - low)))
-                sides.append(rows)
-            near = []
-            for x, y in zip(*sides):
-                small, large = sorted((len(x), len(y)))
-                near.append(False)
-                if small >= threshold * large and large:
-                    same = len(np.intersect1d(x, y, assume_unique=True))
-                    near[-1] = same >= threshold * (small + large - same)
+            a, b = (np.asarray(batch.column(c)) for c in (0, 1))
+            left, right = shingled(a, batch.column(2)), shingled(b, batch.column(3))
+            near = [similar(left[x], right[y], threshold) for x, y in zip(a.tolist(), b.tolist())]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(near, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
     return run
 
 
-class Classes:
-    """Connected components of the links found so far, by least labels and pointer jumping."""
-
-    def __init__(self, work: Scratch, name: int):
-        self.work, self.name, self.n = work, name, 0
-
-    def _save(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        return self.work.save(df, f"labels{self.name}-{self.n}")
-
-    def labels(self, links: DataFrame) -> DataFrame:
-        """(id, label) for the ends of links (a, b); the label is the least id of the component."""
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-        both = self.work.save(both, f"both{self.name}")
-        n_links = both.count()
-        label = self._save(both.groupBy(F.col("a").alias("id")).agg(F.least("id", F.min("b")).alias("label"), F.count(F.lit(1)).alias("n")))
-        while n_links:
-            seen = attach(both.withColumnRenamed("b", "id"), label, ["id"], ["a"], n_links)
-            least = seen.groupBy(F.col("a").alias("id")).agg(F.min("label").alias("next"), F.count(F.lit(1)).alias("n"))
-            step = label.select("id", "label").join(least, "id").select("id", "n", F.col("label").alias("old"), F.least("label", "next").alias("at"))
-            step = self._save(step)
-            # jump: the label of the label; labels are ids, and many ids share one
-            jump = counted(step, ["at"]).withColumnRenamed("n", "size").join(step.select(F.col("id").alias("at"), F.col("at").alias("to")), "at", "left")
-            new = attach(step, jump, ["at"], ["id"], n_links, size="size").select("id", "n", "old", F.least("at", F.coalesce("to", "at")).alias("label"))
-            new = self._save(new)
-            changed = new.where(F.col("label") != F.col("old")).limit(1).count()
-            label = new.drop("old")
-            if not changed:
-                break
-        return label.select("id", "label")
+class Bucket:
+    """Members of one bucket as they come; `add` gives the members that a new one is linked to.
 
+    Members that are known to be of one class, by their labels or by links found here, aren't compared with each other.
+    """
 
-def _hubs(work: Scratch, waiting: DataFrame, round_: int) -> tuple[DataFrame, int]:
-    """Members (key, band, rep, n, hub) of all buckets of two and more; a bucket's hub is its member whose buckets are largest in all.
+    def __init__(self, threshold: float):
+        self.threshold, self.ids, self.sets, self.top = threshold, [], [], []
+        self.sketches, self.bands = np.zeros((0, BANDS * ROWS), np.uint8), np.zeros((0, BANDS), np.int64)
+
+    def _root(self, i: int) -> int:
+        while self.top[i] != i:
+            i = self.top[i]
+        return i
+
+    def add(self, rep: int, label: int, elements: np.ndarray, sketch: np.ndarray, bands: np.ndarray, done: np.ndarray, labels: dict[int, int]) -> list[int]:
+        """`done`: bands before this bucket's in which the member's bucket is small, so that those who share it are compared there."""
+        me = len(self.ids)
+        self.top.append(me)
+        if label in labels:
+            self.top[me] = self._root(labels[label])
+        else:
+            labels[label] = me
+        links = []
+        near = (self.sketches == sketch).sum(1) >= AGREE
+        if len(done):
+            near &= ~(self.bands[:, done] == bands[done]).any(1)
+        for i in np.flatnonzero(near).tolist():
+            mine, other = self._root(me), self._root(i)
+            if mine != other and similar(elements, self.sets[i], self.threshold):
+                self.top[max(mine, other)] = min(mine, other)
+                links.append(self.ids[i])
+        self.ids.append(rep)
+        self.sets.append(elements)
+        self.sketches = np.concatenate([self.sketches, sketch[None, :]])
+        self.bands = np.concatenate([self.bands, bands[None, :]])
+        return links
+
+
+def _compare(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(key, rep, label, text, sketch, bands, band, mask) sorted by key to the links within each bucket, a spanning forest of them at least."""
+        key, bucket, labels = None, Bucket(threshold), {}
+        for batch in batches:
+            a, b = [], []
+            reps = np.asarray(batch.column(1))
+            sets = shingled(reps, batch.column(3))
+            keys = np.zeros((len(reps), BANDS), np.int64)
+            keys[np.asarray(batch.column(6)) >= 0] = np.asarray(batch.column(5).flatten()).reshape(-1, BANDS)
+            rest = (batch.column(c).to_pylist() for c in (0, 2, 4, 6, 7))
+            for i, (rep, k, label, sketch, band, mask) in enumerate(zip(reps.tolist(), *rest)):
+                if k != key:
+                    key, bucket, labels = k, Bucket(threshold), {}
+                done = np.array([j for j in range(band) if mask >> j & 1], np.int64)
+                found = bucket.add(rep, label, sets[rep], np.frombuffer(sketch, np.uint8), keys[i], done, labels)
+                a += [rep] * len(found)
+                b += found
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+LINKS = "a long, b long"
 
-    An original shares more bands with its copies than these do with each other, so it is the hub of most of them.
-    """
-    buckets = work.save(counted(waiting, ["key"]).where("n > 1"), f"buckets{round_}")
-    n_members = buckets.agg(F.sum("n")).first()[0] or 0
-    if not n_members:
-        return waiting, 0
-    inside = work.save(attach(waiting, buckets, ["key"], ["rep"], n_members, how="inner").select("key", "band", "rep", "n"), f"inside{round_}")
-    score = inside.groupBy("rep").agg((F.sum("n") + F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) / float(1 << 20)).alias("score"))
-    hubs = inside.join(score, "rep").groupBy("key").agg(F.max_by("rep", "score").alias("hub"), F.count(F.lit(1)).alias("size"))
-    found = attach(inside, hubs, ["key"], ["rep"], n_members, size="size", how="inner").drop("size")
-    return work.save(found, f"members{round_}"), n_members
+
+class Buckets:
+    """The rounds: small buckets are gathered, large ones are compared with their hubs and dealt anew."""
+
+    def __init__(self, work: Scratch, ids: DataFrame, reps: DataFrame, threshold: float):
+        self.work, self.ids, self.threshold = work, ids, threshold
+        self.bands = reps.where(F.col("rep").isNotNull()).select("rep", "bands")
+        self.sketches = reps.where(F.size("bands") > 0).groupBy(F.col("rep").alias("id")).agg(F.max("sketch").alias("sketch"), F.max("bands").alias("bands"))
+        self.small: list[DataFrame] = []
+        self.blocks: list[DataFrame] = []
+        self.links: list[DataFrame] = []
+        self.tried: DataFrame | None = None
+        self.label: DataFrame | None = None
+
+    def run(self) -> DataFrame:
+        """All links (a, b) that join the classes."""
+        band = self.bands.select("rep", F.posexplode("bands").alias("band", "value"))
+        waiting = band.select("rep", "band", F.xxhash64("band", "value").alias("key"))
+        for round_ in range(len(OFFSETS) + 1):
+            members, n = self._members(waiting, round_)
+            if not n:
+                break
+            if not round_:
+                ends = members.select(F.col("rep").alias("id")).distinct()
+                # a shuffled join whatever the size, so that the plan is the same for all
+                texts = self.ids.join(ends.hint("shuffle_hash"), "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
+                self.texts = self.work.save(texts.join(self.sketches, "id"), "texts")
+            # of the first round's buckets the band is known, so that a pair of members is compared in one of them only
+            band = F.col("band") if not round_ else F.lit(-1)
+            self.small.append(members.where(F.col("n") <= SMALL).select("key", "rep", band.alias("band")))
+            large, n_large = self._large(members, round_)
+            if not n_large:
+                break
+            waiting = self._again(large, n_large, round_)
+            self.work.release()
+            if waiting is None:
+                break
+        self.work.release()
+        if self.small:
+            self.links.append(self._whole())
+            self.work.release()
+        return union(self.links) if self.links else self.work.spark.createDataFrame([], LINKS)
+
+    def _members(self, waiting: DataFrame, round_: int) -> tuple[DataFrame, int]:
+        """(key, band, rep, n) of all buckets of two and more."""
+        buckets, size = self.work.measured(counted(waiting, ["key"]).where("n > 1"), f"buckets{round_}", F.sum("n"))
+        if not size:
+            return waiting, 0
+        found = attach(waiting, buckets, ["key"], ["rep"], size, how="inner").select("key", "band", "rep", "n")
+        return self.work.save(found, f"members{round_}"), size
+
+    def _large(self, members: DataFrame, round_: int) -> tuple[DataFrame, int]:
+        """Large buckets with their hubs: the members whose buckets are largest in all.
+
+        An original shares more bands with its copies than these do with each other, so it is the hub of most of them.
+        """
+        rows = members.where(F.col("n") > SMALL)
+        score = F.sum("n").over(Window.partitionBy("rep")) + F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) / float(1 << 20)
+        rows, n_rows = self.work.measured(rows.withColumn("score", score), f"scored{round_}", F.count(F.lit(1)))
+        if not n_rows:
+            return rows, 0
+        hubs = rows.groupBy("key").agg(F.max_by("rep", "score").alias("hub"), F.max("score").alias("hub_score"), F.count(F.lit(1)).alias("size"))
+        found = attach(rows.drop("score"), hubs, ["key"], ["rep"], n_rows, size="size", how="inner").drop("size")
+        return self.work.save(found, f"large{round_}"), n_rows
+
+    def _again(self, large: DataFrame, n_large: int, round_: int) -> DataFrame | None:
+        """Compare members with their hubs; the members of buckets in which some are of other classes, dealt anew."""
+        asked = F.collect_set(F.when(F.col("new"), F.col("hub")))
+        pairs = large.where("rep <> hub").select("rep", "hub", F.lit(True).alias("new"))
+        if self.tried is not None:
+            pairs = pairs.unionByName(self.tried)
+            asked = F.array_except(asked, F.collect_set(F.when(~F.col("new"), F.col("hub"))))
+        pairs = pairs.groupBy("rep").agg(asked.alias("hubs")).where(F.size("hubs") > 0)  # a member has few hubs
+        pairs, n_pairs = self.work.measured(pairs, f"pairs{round_}", F.sum(F.size("hubs")))
+        each = pairs.select("rep", F.explode("hubs").alias("hub"))
+        mine = each.withColumn("new", F.lit(False))
+        self.tried = mine if self.tried is None else self.tried.unionByName(mine)
+        texts = self.texts.select("id", "text")
+        if n_pairs:
+            left = pairs.join(texts.withColumnsRenamed({"id": "rep", "text": "text_a"}), "rep").select("rep", F.explode("hubs").alias("hub"), "text_a")
+            right = counted(each, ["hub"]).join(texts.withColumnsRenamed({"id": "hub", "text": "text_b"}), "hub")
+            both = attach(left, right, ["hub"], ["rep"], n_pairs, how="inner").select(F.col("rep").alias("a"), F.col("hub").alias("b"), "text_a", "text_b")
+            self.links.append(self.work.save(both.mapInArrow(_verify(self.threshold), LINKS), f"links{round_}"))
+        if self.links:
+            # a member's label is the linked hub of the highest score: no more than a good guess of its class
+            scores = large.groupBy("hub").agg(F.max("hub_score").alias("score"))
+            if round_:
+                scores = scores.unionByName(self.scores)
+            self.scores = self.work.save(scores.groupBy("hub").agg(F.max("score").alias("score")), f"scores{round_}")
+            linked = union(self.links).select(F.col("a").alias("rep"), F.col("b").alias("hub")).join(self.scores, "hub")
+            self.label = self.work.save(linked.groupBy("rep").agg(F.max_by("hub", "score").alias("label")), f"labels{round_}")
+        rows = self._labelled(large)
+        if self.label is not None:
+            of_hub = self.label.withColumnsRenamed({"rep": "hub", "label": "theirs"})
+            heads = counted(large, ["hub"]).withColumnRenamed("n", "hub_n").join(of_hub, "hub", "left")
+            rows = attach(rows, heads, ["hub"], ["rep"], n_large, size="hub_n")
+        else:
+            rows = rows.withColumn("theirs", F.lit(None).cast("long"))
+        head = F.coalesce("theirs", "hub")
+        apart = (F.col("mine") != head) & (F.col("mine") != F.col("hub"))
+        # of those that belong with the hub all have the hub's label
+        rows = rows.select("key", "band", "rep", "n", apart.alias("apart"), F.when(apart, F.col("mine")).otherwise(head).alias("label"))
+        rows = self.work.save(rows, f"judged{round_}")
+        open_ = rows.where("apart").groupBy("key").agg(F.count(F.lit(1)).alias("n_open"))
+        open_, n_open = self.work.measured(open_, f"open{round_}", F.sum("n_open"))
+        if not n_open:
+            return None
+        sized = counted(rows, ["key"]).withColumnRenamed("n", "size").join(open_, "key")
+        rows = self.work.save(attach(rows, sized, ["key"], ["rep"], n_large, size="size", how="inner"), f"rest{round_}")
+        last = round_ == len(OFFSETS)
+        self.blocks.append(self._blocks(rows if last else rows.where(F.col("n_open") <= SMALL)))
+        if last:
+            return None
+        offsets = F.array(*[F.lit(o) for o in OFFSETS[round_]])
+        rest = rows.where(F.col("n_open") > SMALL).select("rep", "band", "key").join(self.bands, "rep").select("rep", "band", "key", "bands", F.explode(offsets).alias("offset"))
+        rest = rest.select("rep", "band", F.xxhash64("key", "offset", F.get("bands", (F.col("band") + F.col("offset")) % BANDS)).alias("key"))
+        return self.work.save(rest, f"waiting{round_}")
+
+    def _labelled(self, rows: DataFrame) -> DataFrame:
+        if self.label is None:
+            return rows.withColumn("mine", F.col("rep"))
+        return rows.join(self.label, "rep", "left").withColumn("mine", F.coalesce("label", "rep")).drop("label")
+
+    @staticmethod
+    def _blocks(rows: DataFrame) -> DataFrame:
+        """Members that belong with the hub in blocks of about BLOCK, and with each block those that don't.
+
+        Where there are many of these (only in buckets that share all bands) they are in blocks too, and each two blocks meet.
+        """
+        n, n_open = (F.ceil(c / F.lit(float(BLOCK))).cast("int") for c in (F.col("size") - F.col("n_open"), F.col("n_open")))
+        at = lambda blocks: F.pmod(F.xxhash64("rep"), F.greatest(blocks, F.lit(1))).cast("int")
+        every = lambda blocks: F.sequence(F.lit(0), F.greatest(blocks, F.lit(1)) - 1)
+        rows = rows.select("key", "rep", "label", "apart", n.alias("blocks"), n_open.alias("open_blocks"))
+        settled = rows.where("NOT apart").select("key", "rep", "label", at(F.col("blocks")).alias("x"), F.explode(every(F.col("open_blocks"))).alias("y"))
+        apart = rows.where("apart").withColumn("y", at(F.col("open_blocks")))
+        met = apart.select("key", "rep", "label", F.explode(every(F.col("blocks"))).alias("x"), "y")
+        both = apart.where("open_blocks > 1").withColumn("z", F.explode(every(F.col("open_blocks"))))
+        both = both.select("key", "rep", "label", (-1 - F.least("y", "z")).alias("x"), F.greatest("y", "z").alias("y"))
+        return settled.unionByName(met).unionByName(both).select(F.xxhash64("key", "x", "y").alias("key"), "rep", "label", F.lit(-1).alias("band"))
+
+    def _whole(self) -> DataFrame:
+        rows = self._labelled(union(self.small)).withColumnRenamed("mine", "label")
+        rows = union([rows, *self.blocks])
+        bit = F.when(F.col("band") >= 0, F.expr("shiftleft(1, band)")).otherwise(0)
+        rows = rows.withColumn("mask", F.bit_or(bit).over(Window.partitionBy("rep")))
+        rows = rows.join(self.texts.withColumnRenamed("id", "rep"), "rep").select("key", "rep", "label", "text", "sketch", F.when(F.col("band") >= 0, F.col("bands")).alias("bands"), "band", "mask")
+        rows = rows.repartition("key").sortWithinPartitions("key")
+        return self.work.save(rows.mapInArrow(_compare(self.threshold), LINKS).distinct(), "whole")
 
 
 def near_classes(docs: DataFrame, threshold: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -186,66 +365,23 @@ def near_classes(docs: DataFrame, threshold: float = SIMILAR, id_col: str = "doc
 
     Rows are in one class if a chain of links joins them; a link joins texts whose weighted Jaccard similarity of
     five-word shingles (A-Z lower-cased) is `threshold` or more. class_id is the least id of the class and that
-    row is kept; rows that repeat the id and the words of the kept row are kept with it. Texts of fewer than five words are one shingle; texts
+    row is kept; rows that repeat its id are kept with it. Different texts under one id are versions of one document: they are in
+    one class, and the greatest of them is compared with others. Texts of fewer than five words are one shingle; texts
     without words, null ones too, are one class. Null ids form classes with equal texts only, under the
     least id that isn't null, or null. An empty table gives an empty result; other columns are ignored.
     """
-    spark = docs.sparkSession
-    work = Scratch(spark, "near")
+    work = Scratch(docs.sparkSession, "near")
+    small_batches(docs.sparkSession)
     ids = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = work.save(ids.mapInArrow(_sign, "id long, digest binary, bands array<long>"), "signed")
-    reps = signed.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
-    reps = work.save(reps, "reps")
-    bands = reps.where(F.col("rep").isNotNull()).select("rep", "bands")
-    waiting = bands.select("rep", F.posexplode("bands").alias("band", "value"))
-    waiting = waiting.select("rep", "band", F.xxhash64("band", "value").alias("key"))
-    involved = None
-    links = spark.createDataFrame([], "a long, b long")
-    label = links.select(F.col("a").alias("id"), F.col("b").alias("label"))
-    tried, round_ = None, 0
-    while True:
-        inside, n_inside = _hubs(work, waiting, round_)
-        if not n_inside:
-            break
-        if involved is None:
-            ends = inside.select(F.col("rep").alias("id")).distinct()
-            involved = work.save(ids.join(ends, "id", "left_semi").dropDuplicates(["id"]), "texts")
-        met = inside.where("rep <> hub").select("rep", "hub")
-        if round_:
-            small = inside.where(F.col("n") <= SMALL).select("key", "rep")
-            met = met.unionByName(small.join(small.withColumnRenamed("rep", "hub"), "key").where("rep < hub").select("rep", "hub"))
-        pairs = met.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = work.save(pairs, f"pairs{round_}")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        n_pairs = pairs.count()
-        if n_pairs:
-            by_a = counted(pairs, ["a"]).withColumnRenamed("a", "id").join(involved, "id").withColumnsRenamed({"id": "a", "text": "text_a"})
-            by_b = counted(pairs, ["b"]).withColumnRenamed("b", "id").join(involved, "id").withColumnsRenamed({"id": "b", "text": "text_b"})
-            with_b = attach(pairs, by_b, ["b"], ["a"], n_pairs).select("a", "b", "text_b")
-            with_a = attach(with_b, by_a, ["a"], ["b"], n_pairs).select("a", "b", "text_a", "text_b")
-            links = links.unionByName(work.save(with_a.mapInArrow(_verify(threshold), "a long, b long"), f"links{round_}"))
-            label = work.save(Classes(work, round_).labels(links), f"classes{round_}")
-        # members of other classes than their hubs' go on, in buckets that have yet more of the signature in common
-        open_ = inside.where(F.col("n") > (SMALL if round_ else 2)).where("rep <> hub")
-        n_open = open_.count()
-        if not n_open:
-            break
-        named = open_.join(label.withColumnsRenamed({"id": "rep", "label": "mine"}), "rep", "left")
-        of_hub = counted(open_, ["hub"]).withColumnRenamed("n", "hub_n").join(label.withColumnsRenamed({"id": "hub", "label": "theirs"}), "hub", "left")
-        named = attach(named, of_hub, ["hub"], ["rep"], n_open, size="hub_n")
-        rest = named.where(F.coalesce("mine", "rep") != F.coalesce("theirs", "hub")).select("rep", "band", "key")
-        offsets = F.array(*[F.lit(o) for o in OFFSETS[round_ % len(OFFSETS)]])
-        rest = rest.join(bands, "rep").select("rep", "band", "key", "bands", F.explode(offsets).alias("offset"))
-        rest = rest.select("rep", "band", F.xxhash64("key", "offset", F.get("bands", (F.col("band") + F.col("offset")) % BANDS)).alias("key"))
-        waiting = work.save(rest, f"waiting{round_}")
-        round_ += 1
-
-    classes = reps.select("digest", "n", "rep").join(label.withColumnRenamed("id", "rep"), "rep", "left").select("digest", "n", F.coalesce("label", "rep").alias("class_id"))
+    signed, n_docs = work.measured(ids.mapInArrow(_sign, "id long, digest binary, bands array<long>, sketch binary"), "signed", F.count(F.lit(1)))
+    reps = signed.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    reps, n_reps = work.measured(reps, "reps", F.count(F.lit(1)))
+    label = components(work, Buckets(work, ids, reps, threshold).run())
+    # of each class the least id: labels are any of the class's ids
+    classes = reps.select("digest", "n", "rep").join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     classes = work.save(classes, "of_digest")
-    total = classes.groupBy("class_id").agg(F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("digests"))
-    classes = attach(classes, total, ["class_id"], ["digest"], classes.count(), size="digests").select("digest", "n", "class_id", "class_size")
-    n_docs = signed.count()
-    out = attach(signed.select("id", "digest"), classes, ["digest"], ["id"], n_docs)
+    total = classes.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("digests"))
+    nameless = classes.where("label IS NULL").select("digest", "n", F.lit(None).cast("long").alias("class_id"), F.col("n").alias("class_size"))
+    classes = attach(classes.where("label IS NOT NULL"), total, ["label"], ["digest"], n_reps or 0, size="digests").select("digest", "n", "class_id", "class_size").unionByName(nameless)
+    out = attach(signed.select("id", "digest"), classes, ["digest"], ["id"], n_docs or 0)
     return out.select(F.col("id").alias(id_col), "class_id", "class_size", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from functools import reduce
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 HOT_ROWS = 64
 #: So at most this many keys can be hot, which bounds what `attach` broadcasts.
 HOT_KEYS = 20_000
+#: Up to so many classes a table with a row for each is broadcast.
+MOST_CLASSES = 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,6 +56,11 @@ class Scratch:
         df.observe(seen, value.alias("value")).write.mode("overwrite").option("compression", "zstd").parquet(self.path(table))
         return self.spark.read.schema(df.schema).parquet(self.path(table)), seen.get["value"]
 
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of finished steps, which otherwise stay until the driver happens to collect its garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *tables: str) -> None:
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
@@ -89,7 +97,9 @@ def first_by_hash(rows: DataFrame, cls: str, most: Column | int, order: list[str
     share = (want + 6 * F.sqrt(want) + 40) / F.col("_n")
     # hashes are signed: -2**63 is the first
     bound = F.when(share >= 1, F.lit(2**63 - 1)).otherwise((F.least(share, F.lit(1.0)) * 2.0**64 - 2.0**63).cast("long"))
-    near = rows.join(sizes.select(cls, bound.alias("_bound")), cls).where(F.col(order[0]) <= F.col("_bound")).drop("_bound")
+    bounds = sizes.select(cls, bound.alias("_bound"))
+    few = sizes.count() <= MOST_CLASSES  # then they are broadcast, and rows stay where they are
+    near = rows.join(F.broadcast(bounds) if few else bounds, cls).where(F.col(order[0]) <= F.col("_bound")).drop("_bound")
     number = F.row_number().over(Window.partitionBy(cls).orderBy(*order))
     return near.withColumn("k", number).where(F.col("k") <= want)
 
