@@ -7,7 +7,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from tierloom.llm import near_dedup
+from tierloom.llm.components import components
 from tierloom.llm.near_dedup import elements, near_classes, signatures
+from tierloom.llm.shared import Scratch
 from tierloom.llm.substring import substring_dedup
 from tierloom.llm.words import buffers, words
 
@@ -122,6 +125,45 @@ def test_near_classes_are_brute_force(spark):
     assert all(x["kept"] == (x["doc_id"] == x["class_id"]) for x in got)
 
 
+def test_near_classes_of_large_buckets_are_brute_force(spark, monkeypatch):
+    """Families around one text, some of whose members are like other members alone, in buckets that are all large."""
+    monkeypatch.setattr(near_dedup, "SMALL", 3)
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    r = random.Random(6)
+    base = [f"w{i}" for i in range(400)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 160):
+        x = r.choice(rows)[1].split() if i % 3 else list(base)
+        for k in r.sample(range(400), r.randrange(1, 14)):
+            x[k] = f"q{r.randrange(10**6)}"
+        rows.append((i, " ".join(x)))
+    got = near_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = brute_classes(rows)
+    assert 1 < len(set(want.values())) < 100
+    assert {x["doc_id"]: x["class_id"] for x in got.collect()} == want
+
+
+def test_near_classes_of_versions_of_one_id(spark):
+    one, other = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    rows = [(1, one), (1, other), (2, one), (3, other), (4, "c d e f g")]
+    got = near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x["doc_id"], x["class_id"], x["class_size"]) for x in got) == [(1, 1, 4), (1, 1, 4), (2, 1, 4), (3, 1, 4), (4, 4, 1)]
+
+
+@pytest.mark.parametrize("kind", ["chain", "star", "random"])
+def test_components(spark, kind):
+    r = random.Random(1)
+    links = {"chain": [(i, i + 1) for i in range(200)], "star": [(7, i) for i in range(200) if i != 7], "random": [(r.randrange(300), r.randrange(300)) for _ in range(180)]}[kind]
+    links = [x for x in links if x[0] != x[1]]
+    label = {x: x for e in links for x in e}
+    for a, b in links:
+        a, b = label[a], label[b]
+        label = {k: a if v == b else v for k, v in label.items()}
+    got = {x["id"]: x["label"] for x in components(Scratch(spark, "test"), spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got.keys() == label.keys() and all(got[v] == v for v in got.values())
+    assert len(set(got.values())) == len(set(label.values())) == len({(got[k], label[k]) for k in got})
+
+
 def test_near_classes_of_a_large_group_and_edges(spark):
     r = random.Random(5)
     base = [f"w{i}" for i in range(300)]

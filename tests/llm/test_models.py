@@ -2,11 +2,12 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tierloom.llm import queries
 from tierloom.llm.language import fit_language, language
 from tierloom.llm.quality import fit_quality, quality
-from tierloom.llm.shared import table
+from tierloom.llm.shared import first_by_hash, table
 from tierloom.llm.top_k import top_k
 
 DATA = "/root/testdata/sf0.01"
@@ -76,3 +77,14 @@ def test_top_k_edges(spark):
     got = {r["vec_id"]: r["score"] for r in top_k(df, df.where("vec_id % 100 = 0")).collect() if r["vec_id"] == 2}
     assert got == {2: 0}
     assert top_k(df.where("false"), df.where("false")).count() == 0
+
+
+def test_first_by_hash_is_the_first_of_all(spark):
+    rows = spark.range(30_000).select(F.xxhash64("id").alias("hash"), "id", F.when(F.col("id") % 100 == 0, "rare").when(F.col("id") < 5, "few").otherwise("many").alias("cls"))
+    got = sorted((r["cls"], r["k"], r["id"]) for r in first_by_hash(rows, "cls", 50, ["hash", "id"]).collect())
+    want = []
+    for cls in ("few", "many", "rare"):
+        ranked = sorted((r["hash"], r["id"]) for r in rows.where(F.col("cls") == cls).collect())[:50]
+        want += [(cls, k + 1, i) for k, (_, i) in enumerate(ranked)]
+    assert got == want
+    assert first_by_hash(rows.where("false"), "cls", 50, ["hash", "id"]).count() == 0
