@@ -27,16 +27,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"))
-    rows = docs.select(*COLUMNS, text_digest().alias("_sha"))
-    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("_sha") == F.col("sha")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_sha"]).select(*COLUMNS)
+    key = lambda doc_id, sha: F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), sha)
+    verdicts = exact_dedup(docs).groupBy(key(F.col("doc_id"), F.col("text_sha256")).alias("_key")).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("copies"))
+    kept = Scratch(spark, "exact-kept").save(verdicts.where("kept").select("_key", "copies"), "keys")
+    # texts are shuffled once and pass by the keys unsorted; only rows that repeat, id and all, are grouped
+    rows = docs.select(*COLUMNS, key(F.col("doc_id"), text_digest()).alias("_key"))
+    once = rows.join(kept.where("copies = 1").hint("shuffle_hash"), "_key", "left_semi")
+    again = rows.join(kept.where("copies > 1").hint("shuffle_hash"), "_key", "left_semi").dropDuplicates(["_key"])
+    return once.unionByName(again).select(*COLUMNS)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates the row with the smallest doc_id stays."""
     kept = near_classes(docs).where("kept").select(F.col("doc_id").alias("id"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select(*COLUMNS)
+    return docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select(*COLUMNS)
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
