@@ -13,11 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tierloom.llm.ngrams import Presence, batches, sums
-from tierloom.llm.shared import fold, held_out
+from tierloom.llm.shared import first_by_hash, fold, held_out, small_batches
 
 BITS, LENGTHS = 16, range(1, 5)
 UNKNOWN = "und"
@@ -65,13 +65,13 @@ class LanguageModel:
 def fit_language(docs: DataFrame, sample: int = 2000, landmarks: int = 200, ridge: float = 0.1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Fit on `sample` labelled rows at most, as many of each language, of those that aren't held out.
 
-    The rows of a language are those whose hashes of the id come first. This bound is the only one: scoring
+    The rows of a language are those whose hashes of id and text come first. This bound is the only one: scoring
     covers all rows and whole texts.
     """
-    rows = docs.where((fold(id_col) != 0) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    rows = docs.where((fold(id_col) != 0) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.xxhash64(id_col, text_col).alias("hash"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     langs = max(1, rows.select("lang").distinct().count())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "text")
-    chosen = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= max(4, sample // langs))
+    chosen = first_by_hash(rows, "lang", max(4, sample // langs), ["hash", "text"])
+    small_batches(docs.sparkSession)
     found = chosen.select("lang", "text", "k").orderBy("k", "lang").select("lang", "text").mapInArrow(_features, "lang string, grams array<int>").toArrow()
     return LanguageModel.solve(found["lang"].to_pylist(), [np.asarray(g) for g in found["grams"].to_numpy()], landmarks, ridge)
 
@@ -83,6 +83,7 @@ def language(docs: DataFrame, model: LanguageModel, temperature: float = 4.0, id
     letter is `und` with score 0, and so is every text if there was no labelled row. Rows that repeat are
     scored alike, an empty table gives an empty result, other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # languages x 65,536 weights
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,11 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tierloom.llm.ngrams import Presence, batches, sums
-from tierloom.llm.shared import fold, held_out
+from tierloom.llm.shared import first_by_hash, fold, held_out, small_batches
 
 BITS = 16
 
@@ -123,8 +123,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 4000, id_col:
     The rows of a class are those whose hashes of the id come first. This bound is the only one.
     """
     y = labels.where(F.col(label_col).isin(0, 1) & (fold(id_col) != 0)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
-    order = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id")
-    y = y.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample // 2)
+    y = first_by_hash(y.withColumn("hash", F.xxhash64("id")), "y", sample // 2, ["hash", "id"]).drop("hash")
+    small_batches(docs.sparkSession)
     # at most `sample` ids, so the broadcast is bounded
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(y), "id")
     found = rows.groupBy("id", "y", "k").agg(F.max("text").alias("text")).orderBy("k", "y").select("y", "text").mapInArrow(_features, "y int, grams array<int>").toArrow()
