@@ -79,6 +79,12 @@ def test_top_k_edges(spark):
     assert top_k(df.where("false"), df.where("false")).count() == 0
 
 
+def test_top_k_orders_scores_beyond_a_long(spark):
+    df = spark.createDataFrame([(0, [1e12]), (1, [3e12]), (2, [5e12]), (3, [-9e12]), (4, [-8e12]), (5, [1.0])], "vec_id long, embedding array<double>").repartition(3)
+    got = sorted((r["rank"], r["vec_id"], r["score"]) for r in top_k(df, df.where("vec_id = 0")).collect())
+    assert got == [(1, 2, 2**63 - 1), (2, 1, 2**63 - 1), (3, 5, 1024 * 1024 * 10**12), (4, 4, -(2**63)), (5, 3, -(2**63))]
+
+
 def test_first_by_hash_is_the_first_of_all(spark):
     rows = spark.range(30_000).select(F.xxhash64("id").alias("hash"), "id", F.when(F.col("id") % 100 == 0, "rare").when(F.col("id") < 5, "few").otherwise("many").alias("cls"))
     got = sorted((r["cls"], r["k"], r["id"]) for r in first_by_hash(rows, "cls", 50, ["hash", "id"]).collect())

@@ -24,6 +24,7 @@ QUERY_BLOCK = 16_384
 BATCH = 2048
 #: Beyond this bound on an inner product floats of 64 bits aren't exact, and Python's integers are used.
 EXACT = 2**52
+LONG = 2**63 - 1
 
 
 def quantised(embedding: str = "embedding", factor: int = 1024) -> Column:
@@ -44,6 +45,11 @@ def _matrix(col: pa.Array, width: int) -> np.ndarray:
     return out
 
 
+def sortable(score: int) -> bytes | None:
+    """Bytes that sort as the scores do that are beyond a long; null for others, which their longs order."""
+    return None if -LONG - 1 < score < LONG else (score + (1 << 159)).to_bytes(20, "big")
+
+
 def _norms(x: np.ndarray) -> np.ndarray:
     return np.sqrt((x.astype(float) ** 2).sum(1))
 
@@ -108,7 +114,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float = 0.
 
     Candidates are all rows of `vectors` but those with the query's own id. Ties go to the smaller id. Rows with null ids
     and vectors that are null or have null or non-finite components take no part; shorter vectors are padded with
-    zeros. Repeated rows are candidates of their own; of repeated query ids one, with the smallest vector, is asked. Queries
+    zeros. Scores beyond a long are ordered exactly and given as the largest or smallest long. Repeated rows are candidates of their own; of repeated query ids one, with the smallest vector, is asked. Queries
     are taken in blocks of fixed size, each broadcast, so nothing that is sent grows with the input. An
     empty table gives an empty result; other columns are ignored.
     """
@@ -158,14 +164,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float = 0.
             for batch in batches:
                 block.offer(np.asarray(batch.column(0)), _matrix(batch.column(1), width))
             found = [(i, c, -s) for i, best in zip(ids.tolist(), block.best) for s, c in best]
-            cols = list(zip(*found)) if found else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
+            query, vec, score = zip(*found) if found else [()] * 3
+            cols = [pa.array(query, pa.int64()), pa.array(vec, pa.int64()), pa.array([min(max(x, -LONG - 1), LONG) for x in score], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(map(sortable, score), pa.binary())], names=["query_id", "vec_id", "score", "exact"])
 
-        frames.append(rows.sortWithinPartitions(F.desc("norm")).select("id", "v").mapInArrow(search, "query_id long, vec_id long, score long"))
+        frames.append(rows.sortWithinPartitions(F.desc("norm")).select("id", "v").mapInArrow(search, "query_id long, vec_id long, score long, exact binary"))
     if not frames:
         return spark.createDataFrame([], shape)
     found = frames[0]
     for f in frames[1:]:
         found = found.unionByName(f)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("exact"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
