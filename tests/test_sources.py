@@ -101,3 +101,11 @@ def test_stream_takes_each_file_once(spark, sounds, tmp_path):
     for _ in range(2):
         process_new_files(spark, sounds, lambda f: f.selectExpr("path", "length(content) AS n"), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 2
+
+
+def test_fixed_formats_round_what_is_stored(spark):
+    from tierloom.sources.textgrid import number
+
+    values = [1704527041.01485, 1705909278.40565, 0.00005, 2.5, -1.00015, 1e15]
+    df = spark.createDataFrame([(v,) for v in values], "t double")
+    assert [r[0] for r in df.select(number("%.4f", "t")).collect()] == [f"{v:.4f}" for v in values]

@@ -171,7 +171,8 @@ def sgram(signals: DataFrame, keys: Sequence[str], start: float = 0, end: float
         found = spectra.spectrogram_parts(y, rate, 0.008 if band == "wb" else 0.04)
         rows = ({"frame": first + i, "sec": s + start, "mag": m} for first, sec, levels in found for i, (s, m) in enumerate(zip(sec, levels)))
         if slice_time >= 0:
-            return [min(rows, key=lambda r: abs(r["sec"] - slice_time))] if len(y) >= int(rate * 0.04) else []
+            nearest = min(rows, key=lambda r: abs(r["sec"] - slice_time), default=None)
+            return [nearest] if nearest else []
         return ([r] for r in rows)
 
     return measure(signals, keys, kernel, "frame int, sec double, mag array<double>")

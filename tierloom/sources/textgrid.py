@@ -69,13 +69,25 @@ def read_textgrid(spark: SparkSession, path: str, tiers: Sequence[str | int] = (
     return out.withColumn("_p", F.explode(F.array_compact(F.array(*pick)))).withColumns({"tier_no": F.col("_p.tier_no"), "tier": F.col("_p.tier")}).drop("_p")
 
 
+def number(fmt: str, col: str) -> Column:
+    """A time as text. Fixed formats round the number that is stored, as C and Python do: Java's round its shortest decimal form, which may be the other way."""
+    if fmt == "%.15g":
+        return F.format_string("%s", F.col(col))
+
+    @F.pandas_udf("string")
+    def formatted(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: fmt % v, na_action="ignore")
+
+    return formatted(F.col(col).cast("double"))
+
+
 def quoted(label: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(F.coalesce(label.cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
 
 
 def tier_blocks(df: DataFrame, keys: Sequence[str], t1: str = "t1", t2: str | None = "t2", label: str = "label", fmt: str = "%.15g", style: str = "short", name: str = "block") -> DataFrame:
     """The text of each tier's entries, in order of time."""
-    num = lambda c: F.format_string(fmt.replace("%.15g", "%s"), F.col(c))
+    num = lambda c: number(fmt, c)
     w = Window.partitionBy(*keys).orderBy(t1, *([t2] if t2 else []))
     rows = df.withColumn("_k", F.row_number().over(w))
     if style == "short":
@@ -115,7 +127,7 @@ def textgrid_text(tiers: DataFrame, keys: Sequence[str], style: str = "short", f
         gaps = intervals.select(*by, F.col("t2").alias("t1"), nxt.alias("t2"), F.lit(fill_gaps).alias("label")).where("t1 < t2")
         first = intervals.groupBy(*by).agg(F.max("_low").alias("t1"), F.min("t1").alias("t2"), F.lit(fill_gaps).alias("label")).where("t1 < t2")
         intervals = intervals.select(*cols).unionByName(gaps).unionByName(first)
-    num = lambda c: F.format_string(fmt.replace("%.15g", "%s"), F.col(c))
+    num = lambda c: number(fmt, c)
 
     def tier(df: DataFrame, kind: str, t2: str | None) -> DataFrame:
         blocks = tier_blocks(df, by, "t1", t2, "label", fmt, style)
