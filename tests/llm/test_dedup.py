@@ -143,6 +143,25 @@ def test_near_classes_of_large_buckets_are_brute_force(spark, monkeypatch):
     assert {x["doc_id"]: x["class_id"] for x in got.collect()} == want
 
 
+def test_near_classes_of_large_buckets_without_a_hub_are_brute_force(spark, monkeypatch):
+    """Pairs of near copies in large buckets of texts that aren't near each other: each band that a bucket is dealt by may part a pair."""
+    monkeypatch.setattr(near_dedup, "SMALL", 3)
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "SIGNATURES", 16, raising=False)
+    monkeypatch.setattr(near_dedup, "OFFSETS", ((1,), (2,), (3,)))  # which bands these are must not matter
+    r = random.Random(8)
+    rows = []
+    for i in range(300):
+        x = rows[-1][1].split() if i % 2 else [f"w{k}" for k in range(400)]
+        for k in r.sample(range(400), 8 if i % 2 else 7):
+            x[k] = f"q{r.randrange(10**6)}"
+        rows.append((i, " ".join(x)))
+    got = near_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = brute_classes(rows)
+    assert 100 < len(set(want.values())) <= 160
+    assert {x["doc_id"]: x["class_id"] for x in got.collect()} == want
+
+
 def test_near_classes_of_versions_of_one_id(spark):
     one, other = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
     rows = [(1, one), (1, other), (2, one), (3, other), (4, "c d e f g")]

@@ -11,7 +11,9 @@ band are a bucket. Buckets of SMALL members at most are compared whole: their te
 whose signatures agree often enough are compared by the shingles themselves. In larger buckets all pairs
 would be too many: each member is compared with the bucket's hub. If SMALL members at most don't belong with the hub
 then, these are compared with all others, in blocks. Otherwise all members are dealt anew, to buckets that share one
-more band each, for several other bands. So comparisons grow with the members. Classes are connected components.
+more band each, for several other bands. So comparisons grow with the members. A pair may be parted by these bands, so
+in the end the members of each bucket that was dealt anew meet all those of other classes: their signatures in
+blocks, and the texts of those whose signatures agree. Classes are connected components.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ FIRST = 1 / 16
 OFFSETS = ((1, 5, 9), (2, 7, 12), (3, 10), (4, 13), (6, 11), (8, 15), (14, 17), (16, 19), (18, 21), (20, 22), (23,))
 #: Bucket size up to which all members are compared, and size of the blocks of a larger bucket that are compared with its few others.
 SMALL, BLOCK = 256, 256
+#: Size of the blocks in which signatures alone meet.
+SIGNATURES = 2048
 #: Coordinates in which two signatures must agree for the shingles to be compared: pairs as similar as SIMILAR have fewer with a chance of 1 in a million.
 AGREE = 58
 
@@ -208,6 +212,40 @@ def _compare(threshold: float):
     return run
 
 
+def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, key, rep, label, apart, sketch, bands, band, mask) sorted by block to (key, rep) of members that may belong with one of another label in their block."""
+
+    def met(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        label, apart, mask = (rows.column(c).to_numpy() for c in (3, 4, 8))
+        sketches = np.frombuffer(b"".join(rows.column(5).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+        keys = rows.column(6).combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        band = rows.column(7)[0].as_py()
+        found = np.zeros(len(label), bool)
+        for i in np.flatnonzero(apart).tolist():
+            near = ((sketches == sketches[i]).sum(1) >= AGREE) & (label != label[i])
+            done = [j for j in range(band) if mask[i] >> j & 1]  # those who share these bands meet there
+            if done and near.any():
+                near &= ~(keys[:, done] == keys[i, done]).any(1)
+            if near.any():
+                found |= near
+                found[i] = True
+        return pa.RecordBatch.from_arrays([rows.column(c).combine_chunks().filter(pa.array(found)) for c in (1, 2)], names=["key", "rep"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        block = batch.column(0).to_numpy()
+        ends = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
+        for low, high in zip(ends, ends[1:]):
+            if high > low:
+                if held and held[-1].column(0)[0].as_py() != block[low]:
+                    yield met(held)
+                    held = []
+                held.append(batch.slice(low, high - low))
+    if held:
+        yield met(held)
+
+
 LINKS = "a long, b long"
 
 
@@ -221,6 +259,7 @@ class Buckets:
         self.small: list[DataFrame] = []
         self.blocks: list[DataFrame] = []
         self.links: list[DataFrame] = []
+        self.dealt: DataFrame | None = None
         self.tried: DataFrame | None = None
         self.label: DataFrame | None = None
 
@@ -249,7 +288,11 @@ class Buckets:
                 break
         self.work.release()
         if self.small:
-            self.links.append(self._whole())
+            whole = self._compared(union([self._labelled(union(self.small)).withColumnRenamed("mine", "label"), *self.blocks]), "whole")
+            self.links.append(whole)
+            self.work.release()
+        if self.dealt is not None:
+            self._parted()
             self.work.release()
         return union(self.links) if self.links else self.work.spark.createDataFrame([], LINKS)
 
@@ -318,10 +361,13 @@ class Buckets:
         if not n_open:
             return None
         sized = counted(rows, ["key"]).withColumnRenamed("n", "size").join(open_, "key")
-        rows = self.work.save(attach(rows, sized, ["key"], ["rep"], n_large, size="size", how="inner"), f"rest{round_}")
+        rows, n_rest = self.work.measured(attach(rows, sized, ["key"], ["rep"], n_large, size="size", how="inner"), f"rest{round_}", F.sum((F.col("n_open") > SMALL).cast("int")))
+        if n_rest and not round_:
+            self.dealt = rows.where(F.col("n_open") > SMALL).select("key", "band", "rep")
         last = round_ == len(OFFSETS)
-        self.blocks.append(self._blocks(rows if last else rows.where(F.col("n_open") <= SMALL)))
-        if last:
+        blocks = self._blocks(rows if last else rows.where(F.col("n_open") <= SMALL), BLOCK)
+        self.blocks.append(blocks.select(F.col("block").alias("key"), "rep", "label", F.lit(-1).alias("band")))
+        if last or not n_rest:
             return None
         offsets = F.array(*[F.lit(o) for o in OFFSETS[round_]])
         rest = rows.where(F.col("n_open") > SMALL).select("rep", "band", "key").join(self.bands, "rep").select("rep", "band", "key", "bands", F.explode(offsets).alias("offset"))
@@ -333,31 +379,55 @@ class Buckets:
             return rows.withColumn("mine", F.col("rep"))
         return rows.join(self.label, "rep", "left").withColumn("mine", F.coalesce("label", "rep")).drop("label")
 
+    def _parted(self) -> None:
+        """Compare the members of each bucket that was dealt anew with those that aren't of their class by all links so far."""
+        label = components(Scratch(self.work.spark, "near-parted"), union(self.links)).withColumnRenamed("id", "rep")
+        rows = self.work.save(self.dealt.join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "dealt")
+        bit = F.bit_or(F.expr("shiftleft(1, band)")).over(Window.partitionBy("rep"))
+        rows, n = self._apart(rows.withColumn("mask", bit), "mixed")
+        if not n:
+            return
+        met = self._blocks(rows, SIGNATURES, "key", "apart", "band", "mask").join(self.sketches.withColumnRenamed("id", "rep"), "rep")
+        met = met.select("block", "key", "rep", "label", "apart", "sketch", "bands", "band", "mask").repartition("block").sortWithinPartitions("block")
+        found = self.work.save(met.mapInArrow(_agreeing, "key long, rep long").distinct(), "agreeing")
+        rows, n = self._apart(rows.select("key", "rep", "label").join(found, ["key", "rep"], "left_semi"), "doubtful")
+        if n:
+            self.links.append(self._compared(self._blocks(rows, BLOCK).select(F.col("block").alias("key"), "rep", "label", F.lit(-1).alias("band")), "parted"))
+
+    def _apart(self, rows: DataFrame, table: str) -> tuple[DataFrame, int]:
+        """Rows of buckets of several labels, with the bucket's `size`; those are `apart`, n_open in all, that don't have its most frequent label."""
+        each = counted(rows, ["key", "label"])
+        heads = each.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("head"), F.sum("n").alias("size"), (F.sum("n") - F.max("n")).alias("n_open"))
+        heads, n = self.work.measured(heads.where("n_open > 0"), f"{table}_heads", F.sum("size"))
+        if not n:
+            return rows, 0
+        rows = attach(rows, heads, ["key"], ["rep"], n, size="size", how="inner").withColumn("apart", F.col("label") != F.col("head")).drop("head")
+        return self.work.save(rows, table), n
+
     @staticmethod
-    def _blocks(rows: DataFrame) -> DataFrame:
-        """Members that belong with the hub in blocks of about BLOCK, and with each block those that don't.
+    def _blocks(rows: DataFrame, size: int, *others: str) -> DataFrame:
+        """Members that belong with the hub in blocks of about `size`, and with each block those that don't.
 
-        Where there are many of these (only in buckets that share all bands) they are in blocks too, and each two blocks meet.
+        Where there are many of these they are in blocks too, and each two blocks meet.
         """
-        n, n_open = (F.ceil(c / F.lit(float(BLOCK))).cast("int") for c in (F.col("size") - F.col("n_open"), F.col("n_open")))
+        n, n_open = (F.ceil(c / F.lit(float(size))).cast("int") for c in (F.col("size") - F.col("n_open"), F.col("n_open")))
         at = lambda blocks: F.pmod(F.xxhash64("rep"), F.greatest(blocks, F.lit(1))).cast("int")
         every = lambda blocks: F.sequence(F.lit(0), F.greatest(blocks, F.lit(1)) - 1)
-        rows = rows.select("key", "rep", "label", "apart", n.alias("blocks"), n_open.alias("open_blocks"))
-        settled = rows.where("NOT apart").select("key", "rep", "label", at(F.col("blocks")).alias("x"), F.explode(every(F.col("open_blocks"))).alias("y"))
+        rows = rows.select("key", "rep", "label", "apart", *(c for c in others if c not in ("key", "apart")), n.alias("blocks"), n_open.alias("open_blocks"))
+        settled = rows.where("NOT apart").withColumn("x", at(F.col("blocks"))).withColumn("y", F.explode(every(F.col("open_blocks"))))
         apart = rows.where("apart").withColumn("y", at(F.col("open_blocks")))
-        met = apart.select("key", "rep", "label", F.explode(every(F.col("blocks"))).alias("x"), "y")
+        met = apart.withColumn("x", F.explode(every(F.col("blocks"))))
         both = apart.where("open_blocks > 1").withColumn("z", F.explode(every(F.col("open_blocks"))))
-        both = both.select("key", "rep", "label", (-1 - F.least("y", "z")).alias("x"), F.greatest("y", "z").alias("y"))
-        return settled.unionByName(met).unionByName(both).select(F.xxhash64("key", "x", "y").alias("key"), "rep", "label", F.lit(-1).alias("band"))
+        both = both.withColumn("x", -1 - F.least("y", "z")).withColumn("y", F.greatest("y", "z")).drop("z")
+        return settled.unionByName(met).unionByName(both).select(F.xxhash64("key", "x", "y").alias("block"), "rep", "label", *others)
 
-    def _whole(self) -> DataFrame:
-        rows = self._labelled(union(self.small)).withColumnRenamed("mine", "label")
-        rows = union([rows, *self.blocks])
+    def _compared(self, rows: DataFrame, table: str) -> DataFrame:
+        """Links between the members (key, rep, label, band) that meet by key."""
         bit = F.when(F.col("band") >= 0, F.expr("shiftleft(1, band)")).otherwise(0)
         rows = rows.withColumn("mask", F.bit_or(bit).over(Window.partitionBy("rep")))
         rows = rows.join(self.texts.withColumnRenamed("id", "rep"), "rep").select("key", "rep", "label", "text", "sketch", F.when(F.col("band") >= 0, F.col("bands")).alias("bands"), "band", "mask")
         rows = rows.repartition("key").sortWithinPartitions("key")
-        return self.work.save(rows.mapInArrow(_compare(self.threshold), LINKS).distinct(), "whole")
+        return self.work.save(rows.mapInArrow(_compare(self.threshold), LINKS).distinct(), table)
 
 
 def near_classes(docs: DataFrame, threshold: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
