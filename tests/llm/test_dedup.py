@@ -169,6 +169,17 @@ def test_near_classes_of_versions_of_one_id(spark):
     assert sorted((x["doc_id"], x["class_id"], x["class_size"]) for x in got) == [(1, 1, 4), (1, 1, 4), (2, 1, 4), (3, 1, 4), (4, 4, 1)]
 
 
+def test_near_classes_of_all_versions_and_null_ids(spark):
+    def near(c):
+        return [" ".join(f"{c}{i}" for i in range(n)) for n in (60, 61)]
+
+    (a, a2), (b, b2), (c, c2), (d, d2) = map(near, "abcd")
+    rows = [(1, a), (1, b), (2, a2), (3, b2), (4, c), (None, c2), (None, d), (None, d2), (5, a), (5, "e f g h i"), (6, "e f g h i")]
+    got = near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(x["doc_id"], x["class_id"], x["class_size"]) for x in got} == {(i, 1, 7) for i in (1, 2, 3, 5, 6)} | {(4, 4, 2), (None, 4, 2), (None, None, 2)}
+    assert all(x["kept"] == (x["doc_id"] == x["class_id"]) for x in got)
+
+
 @pytest.mark.parametrize("kind", ["chain", "star", "random"])
 def test_components(spark, kind):
     r = random.Random(1)

@@ -103,7 +103,7 @@ def bands(signature: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) to (id, digest of the words, band keys, a byte of each coordinate); texts without words have none."""
+    """(id, text, hash) to (id, hash, digest of the words, band keys, a byte of each coordinate); texts without words have none."""
     for batch in batches:
         data, offsets = buffers(batch.column(1))
         for low, high in chunks(offsets):
@@ -116,7 +116,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(bands(signed)[some].ravel()))
             sketch = [row.tobytes() for row in (mix(signed) >> np.uint64(56)).astype(np.uint8)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, n), pa.array(digest, pa.binary()), lists, pa.array(sketch, pa.binary())], names=["id", "digest", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, n), batch.column(2).slice(low, n), pa.array(digest, pa.binary()), lists, pa.array(sketch, pa.binary())], names=["id", "hash", "digest", "bands", "sketch"])
 
 
 def shingled(ids: np.ndarray, texts: pa.Array) -> dict[int, np.ndarray]:
@@ -253,9 +253,9 @@ class Buckets:
     """The rounds: small buckets are gathered, large ones are compared with their hubs and dealt anew."""
 
     def __init__(self, work: Scratch, ids: DataFrame, reps: DataFrame, threshold: float):
-        self.work, self.ids, self.threshold = work, ids, threshold
-        self.bands = reps.where(F.col("rep").isNotNull()).select("rep", "bands")
-        self.sketches = reps.where(F.size("bands") > 0).groupBy(F.col("rep").alias("id")).agg(F.max("sketch").alias("sketch"), F.max("bands").alias("bands"))
+        self.work, self.ids, self.reps, self.threshold = work, ids, reps, threshold
+        self.bands = reps.select("rep", "bands")
+        self.sketches = reps.where(F.size("bands") > 0).select(F.col("rep").alias("id"), "sketch", "bands")
         self.small: list[DataFrame] = []
         self.blocks: list[DataFrame] = []
         self.links: list[DataFrame] = []
@@ -272,10 +272,11 @@ class Buckets:
             if not n:
                 break
             if not round_:
-                ends = members.select(F.col("rep").alias("id")).distinct()
+                source = self.reps.select("rep", "source.*", "sketch", "bands")
+                ends = self.work.save(members.select("rep").distinct().join(source, "rep"), "ends")
                 # a shuffled join whatever the size, so that the plan is the same for all
-                texts = self.ids.join(ends.hint("shuffle_hash"), "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
-                self.texts = self.work.save(texts.join(self.sketches, "id"), "texts")
+                texts = self.ids.join(ends.select("at", "hash").hint("shuffle_hash"), ["at", "hash"], "left_semi").groupBy("at", "hash").agg(F.max("text").alias("text"))
+                self.texts = self.work.save(texts.join(ends, ["at", "hash"]).select(F.col("rep").alias("id"), "text", "sketch", "bands"), "texts")
             # of the first round's buckets the band is known, so that a pair of members is compared in one of them only
             band = F.col("band") if not round_ else F.lit(-1)
             self.small.append(members.where(F.col("n") <= SMALL).select("key", "rep", band.alias("band")))
@@ -430,28 +431,44 @@ class Buckets:
         return self.work.save(rows.mapInArrow(_compare(self.threshold), LINKS).distinct(), table)
 
 
+def _versions(work: Scratch, signed: DataFrame, reps: DataFrame) -> DataFrame | None:
+    """Links (a, b) between the different texts of one id."""
+    hashes = signed.where("id IS NOT NULL").select("id", F.xxhash64("digest").alias("hash"))
+    several = counted(hashes, ["id"], F.min("hash").alias("low"), F.max("hash").alias("high")).where("low <> high").select("id", "n")
+    several, n = work.measured(several, "several", F.sum("n"))
+    if not n:
+        return None
+    rows = attach(signed.select("id", "digest"), several, ["id"], ["digest"], n, how="inner").select("id", "digest").distinct()
+    rows = work.save(rows.join(reps.select("digest", "rep"), "digest").select("id", "rep"), "versions")
+    first = counted(rows, ["id"], F.min("rep").alias("b"))
+    return attach(rows, first, ["id"], ["rep"], n, how="inner").where("rep <> b").select(F.col("rep").alias("a"), "b")
+
+
 def near_classes(docs: DataFrame, threshold: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Class of each row: (id, class_id, class_size, kept).
 
     Rows are in one class if a chain of links joins them; a link joins texts whose weighted Jaccard similarity of
     five-word shingles (A-Z lower-cased) is `threshold` or more. class_id is the least id of the class and that
     row is kept; rows that repeat its id are kept with it. Different texts under one id are versions of one document: they are in
-    one class, and the greatest of them is compared with others. Texts of fewer than five words are one shingle; texts
-    without words, null ones too, are one class. Null ids form classes with equal texts only, under the
-    least id that isn't null, or null. An empty table gives an empty result; other columns are ignored.
+    one class, and each of them is compared with others. Texts of fewer than five words are one shingle; texts
+    without words, null ones too, are one class. Rows of null ids are compared as all others; they aren't versions of one
+    document, and a class of them alone has a null class_id, and all its rows are kept. An empty table gives an empty result; other columns are ignored.
     """
     work = Scratch(docs.sparkSession, "near")
     small_batches(docs.sparkSession)
     ids = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed, n_docs = work.measured(ids.mapInArrow(_sign, "id long, digest binary, bands array<long>, sketch binary"), "signed", F.count(F.lit(1)))
-    reps = signed.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    reps, n_reps = work.measured(reps, "reps", F.count(F.lit(1)))
-    label = components(work, Buckets(work, ids, reps, threshold).run())
-    # of each class the least id: labels are any of the class's ids
-    classes = reps.select("digest", "n", "rep").join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    # a row's text is known by its id and a hash: an id may have several, and null ids stand beside id 0
+    ids = ids.select("id", "text", F.xxhash64("text").alias("hash"), F.coalesce("id", F.lit(0)).alias("at"))
+    signed, n_docs = work.measured(ids.select("id", "text", "hash").mapInArrow(_sign, "id long, hash long, digest binary, bands array<long>, sketch binary"), "signed", F.count(F.lit(1)))
+    source = F.min(F.struct(F.coalesce("id", F.lit(0)).alias("at"), "hash")).alias("source")
+    reps = signed.groupBy("digest").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), source, F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    reps, n_reps = work.measured(reps.withColumn("rep", F.monotonically_increasing_id()), "reps", F.count(F.lit(1)))  # numbers are fixed as they are written
+    links, versions = Buckets(work, ids, reps, threshold).run(), _versions(work, signed, reps)
+    label = components(work, links if versions is None else links.unionByName(versions))
+    # of each class the least id: labels are numbers of any of the class's texts
+    classes = reps.select("digest", "n", "rep", "least").join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     classes = work.save(classes, "of_digest")
-    total = classes.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("digests"))
-    nameless = classes.where("label IS NULL").select("digest", "n", F.lit(None).cast("long").alias("class_id"), F.col("n").alias("class_size"))
-    classes = attach(classes.where("label IS NOT NULL"), total, ["label"], ["digest"], n_reps or 0, size="digests").select("digest", "n", "class_id", "class_size").unionByName(nameless)
+    total = classes.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("digests"))
+    classes = attach(classes, total, ["label"], ["digest"], n_reps or 0, size="digests").select("digest", "n", "class_id", "class_size")
     out = attach(signed.select("id", "digest"), classes, ["digest"], ["id"], n_docs or 0)
     return out.select(F.col("id").alias(id_col), "class_id", "class_size", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
