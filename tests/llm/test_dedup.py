@@ -180,6 +180,14 @@ def test_near_classes_of_all_versions_and_null_ids(spark):
     assert all(x["kept"] == (x["doc_id"] == x["class_id"]) for x in got)
 
 
+def test_near_classes_refuse_thresholds_that_signatures_would_miss(spark):
+    df = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f g")], "doc_id long, text string")
+    for low in (0.6, 0.79, float("nan")):
+        with pytest.raises(ValueError):
+            near_classes(df, low)
+    assert {x["class_id"] for x in near_classes(df, 0.9).collect()} == {1, 2}
+
+
 @pytest.mark.parametrize("kind", ["chain", "star", "random"])
 def test_components(spark, kind):
     r = random.Random(1)

@@ -448,12 +448,15 @@ def near_classes(docs: DataFrame, threshold: float = SIMILAR, id_col: str = "doc
     """Class of each row: (id, class_id, class_size, kept).
 
     Rows are in one class if a chain of links joins them; a link joins texts whose weighted Jaccard similarity of
-    five-word shingles (A-Z lower-cased) is `threshold` or more. class_id is the least id of the class and that
+    five-word shingles (A-Z lower-cased) is `threshold` or more; bands and AGREE are made for SIMILAR, so lower thresholds
+    are refused. class_id is the least id of the class and that
     row is kept; rows that repeat its id are kept with it. Different texts under one id are versions of one document: they are in
     one class, and each of them is compared with others. Texts of fewer than five words are one shingle; texts
     without words, null ones too, are one class. Rows of null ids are compared as all others; they aren't versions of one
     document, and a class of them alone has a null class_id, and all its rows are kept. An empty table gives an empty result; other columns are ignored.
     """
+    if not threshold >= SIMILAR:
+        raise ValueError(f"threshold must be {SIMILAR} or more: signatures would leave out pairs of lower similarity")
     work = Scratch(docs.sparkSession, "near")
     small_batches(docs.sparkSession)
     ids = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
