@@ -169,6 +169,8 @@ _OPEN: dict[str, WordTokens] = {}
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, longest: int = 2048, step_tokens: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenise and pack all documents: one row per piece (id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group).
 
+    Special tokens that a text spells out, such as <|endoftext|>, are ordinary text (`encode_special_tokens` of the library), so
+    no text can forge an end; the library's default would give them their special ids.
     A document's ids end with `end_id`, so empty and null texts are one token. Each task packs the documents that it
     reads, without a shuffle; sequence ids hold the task's number, and a task that runs again gives the same pieces.
     Rows that repeat are documents of their own; an empty table gives an empty result; other columns are ignored.
