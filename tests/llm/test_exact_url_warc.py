@@ -38,7 +38,47 @@ def test_digest_index_persists(spark, tmp_path):
     assert again.buckets == 3
     got = {r["doc_id"]: (r["keep_id"], r["kept"]) for r in exact_dedup(second, again).collect()}
     assert got == {3: (1, False), 4: (5, False), 5: (5, True)}
-    assert DigestIndex(spark, at).table().count() == 3
+    with DigestIndex(spark, at) as index:
+        assert index.table().count() == 3
+
+
+def verdicts(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_a_batch_that_is_run_again_gets_the_same_verdicts(spark, tmp_path):
+    batch = spark.createDataFrame([(1, "a"), (2, "A"), (3, "b"), (3, "b"), (7, "c")], "doc_id long, text string")
+    with DigestIndex(spark, f"file://{tmp_path}/index", 3) as index:
+        exact_dedup(spark.createDataFrame([(0, "C")], "doc_id long, text string"), index)
+        first = verdicts(exact_dedup(batch, index))
+        assert sum(r[3] for r in first) == 2 and (7, 0, 1, False, hashlib.sha256(b"c").hexdigest()) in first
+        assert verdicts(exact_dedup(batch.repartition(3), index)) == first
+        assert index.table().count() == 3
+        # a later batch with other rows loses to it, also where it has the same ids
+        assert not any(r[3] for r in verdicts(exact_dedup(batch.where("doc_id < 3"), index)))
+
+
+def test_a_batch_that_failed_within_the_append_gets_the_same_verdicts(spark, tmp_path, monkeypatch):
+    batch = spark.createDataFrame([(i, f"t{i // 2}") for i in range(40)], "doc_id long, text string")
+    want = verdicts(exact_dedup(batch))
+    whole = DigestIndex.append
+
+    def fails(self, groups, name):
+        whole(self, groups.where("keep_id % 4 = 1"), name)
+        raise RuntimeError("driver lost")
+
+    with DigestIndex(spark, f"file://{tmp_path}/index", 3) as index:
+        monkeypatch.setattr(DigestIndex, "append", fails)
+        with pytest.raises(RuntimeError):
+            exact_dedup(batch, index)
+        monkeypatch.setattr(DigestIndex, "append", whole)
+        assert 0 < index.table().count() < 20
+        assert verdicts(exact_dedup(batch, index)) == want and index.table().count() == 20
+
+
+def test_exact_dedup_leaves_no_table_names(spark):
+    exact_dedup(spark.createDataFrame([(1, "a")], "doc_id long, text string")).collect()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("digest_index")]
 
 
 RULES = [("block", "com"), ("allow", "a.com/x/"), ("block", "a.com/x/y"), ("allow", "dup.org/"), ("block", "dup.org/"), (None, "q"), ("block", None)]

@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 from functools import reduce
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,6 +33,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 class Scratch:
     """Intermediate tables of one run, written to the shared folder.
 
@@ -50,7 +56,7 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(table))
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 
-    def measured(self, df: DataFrame, table: str, value: Column) -> tuple[DataFrame, int | None]:
+    def measured(self, df: DataFrame, table: str, value: Column) -> tuple[DataFrame, Any]:
         """`save`, and an aggregate of the rows, taken as they are written."""
         seen = Observation()
         df.observe(seen, value.alias("value")).write.mode("overwrite").option("compression", "zstd").parquet(self.path(table))
@@ -62,9 +68,10 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
     def drop(self, *tables: str) -> None:
+        """Delete tables, or all of them if none is named."""
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for table in tables:
+        for table in tables or ("",):
             at = jvm.org.apache.hadoop.fs.Path(self.path(table))
             at.getFileSystem(conf).delete(at, True)
 
