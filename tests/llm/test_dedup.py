@@ -71,6 +71,17 @@ def test_substring_dedup_repeated_ids_and_empty(spark):
     assert substring_dedup(df.where("false")).count() == 0
 
 
+def test_substring_dedup_extends_matches_both_ways(spark):
+    """Of an anchor's occurrences the first matches a later one in part; what leaves that match repeats a third."""
+    x = [f"x{i}" for i in range(60)]
+    a, b, c, d = ([f"{k}{i}" for i in range(40)] for k in "abcd")
+    rows = [a + x[18:40] + b, c + x[10:32] + d, x[:60], b[::-1] + x[5:55] + a[::-1], x[20:39] + c, x[20:40] + d, ["z"] * 45, x[20:40]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(rows)]
+    got = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == brute_substring(rows)
+    assert {r["doc_id"]: [tuple(x) for x in r["repeats"]] for r in got}[2] == [(10, 30)]
+
+
 def shingles(t):
     w = t.split()
     return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
