@@ -188,7 +188,29 @@ def test_near_classes_of_all_versions_and_null_ids(spark):
     rows = [(1, a), (1, b), (2, a2), (3, b2), (4, c), (None, c2), (None, d), (None, d2), (5, a), (5, "e f g h i"), (6, "e f g h i")]
     got = near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(x["doc_id"], x["class_id"], x["class_size"]) for x in got} == {(i, 1, 7) for i in (1, 2, 3, 5, 6)} | {(4, 4, 2), (None, 4, 2), (None, None, 2)}
-    assert all(x["kept"] == (x["doc_id"] == x["class_id"]) for x in got)
+    assert all(x["kept"] == (x["doc_id"] == x["class_id"]) for x in got if x["class_id"] is not None)
+    assert sorted(x["kept"] for x in got if x["class_id"] is None) == [False, True]
+
+
+def test_near_copies_of_each_version_of_many_ids_are_linked(spark):
+    r = random.Random(3)
+
+    def text():
+        return [f"w{r.randrange(10**6)}" for _ in range(80)]
+
+    rows = []
+    for i in range(40):
+        for k, t in enumerate((text(), text())):
+            rows += [(i, " ".join(t)), (100 + 2 * i + k, " ".join([*t, "end"]))]
+    got = near_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {(x["doc_id"], x["class_id"]) for x in got} == {(i, i) for i in range(40)} | {(100 + 2 * i + k, i) for i in range(40) for k in (0, 1)}
+
+
+def test_near_classes_of_a_hot_repeated_row(spark):
+    t = " ".join(f"w{i}" for i in range(60))
+    rows = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 ELSE id + 10 END AS doc_id", f"CASE WHEN id % 3 = 0 THEN '{t}' WHEN id = 1 THEN '{t} end' ELSE concat('t', id) END AS text")
+    got = near_classes(rows)
+    assert got.where("class_id = 7 AND class_size = 1001").count() == 1001 and got.where("kept").count() == 3000 - 1
 
 
 def test_near_classes_refuse_thresholds_that_signatures_would_miss(spark):

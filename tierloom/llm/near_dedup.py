@@ -7,8 +7,8 @@ coordinate. Regions double in rank from level to level, and a document stops whe
 are hit, so large documents look at the first regions only and small ones at many.
 
 Documents of equal words are one representative first. Signatures are cut into bands; representatives that share a
-band are a bucket. Buckets of SMALL members at most are compared whole: their texts meet in one task, where pairs
-whose signatures agree often enough are compared by the shingles themselves. In larger buckets all pairs
+band are a bucket. Buckets of SMALL members at most are compared whole: their signatures meet in one task, and the texts
+of those whose signature agrees often enough with another member's follow and are compared by the shingles themselves. In larger buckets all pairs
 would be too many: each member is compared with the bucket's hub. If SMALL members at most don't belong with the hub
 then, these are compared with all others, in blocks. Otherwise all members are dealt anew, to buckets that share one
 more band each, for several other bands. So comparisons grow with the members. A pair may be parted by these bands, so
@@ -252,8 +252,8 @@ LINKS = "a long, b long"
 class Buckets:
     """The rounds: small buckets are gathered, large ones are compared with their hubs and dealt anew."""
 
-    def __init__(self, work: Scratch, ids: DataFrame, reps: DataFrame, threshold: float):
-        self.work, self.ids, self.reps, self.threshold = work, ids, reps, threshold
+    def __init__(self, work: Scratch, ids: DataFrame, n_docs: int, reps: DataFrame, threshold: float):
+        self.work, self.ids, self.n_docs, self.reps, self.threshold = work, ids, n_docs, reps, threshold
         self.bands = reps.select("rep", "bands")
         self.sketches = reps.where(F.size("bands") > 0).select(F.col("rep").alias("id"), "sketch", "bands")
         self.small: list[DataFrame] = []
@@ -272,10 +272,11 @@ class Buckets:
             if not n:
                 break
             if not round_:
-                source = self.reps.select("rep", "source.*", "sketch", "bands")
+                source = self.reps.select("rep", "source.*", "n", "sketch", "bands")
                 ends = self.work.save(members.select("rep").distinct().join(source, "rep"), "ends")
-                # a shuffled join whatever the size, so that the plan is the same for all
-                texts = self.ids.join(ends.select("at", "hash").hint("shuffle_hash"), ["at", "hash"], "left_semi").groupBy("at", "hash").agg(F.max("text").alias("text"))
+                # a shuffled join whatever the size, so that the plan is the same for all; rows that repeat id and text are split by their partitions
+                found = attach(self.ids.select("at", "hash", "text"), ends.select("at", "hash", "n"), ["at", "hash"], [F.spark_partition_id()], self.n_docs, how="inner", hint="shuffle_hash")
+                texts = found.groupBy("at", "hash").agg(F.max("text").alias("text"))
                 self.texts = self.work.save(texts.join(ends, ["at", "hash"]).select(F.col("rep").alias("id"), "text", "sketch", "bands"), "texts")
             # of the first round's buckets the band is known, so that a pair of members is compared in one of them only
             band = F.col("band") if not round_ else F.lit(-1)
@@ -423,9 +424,12 @@ class Buckets:
         return settled.unionByName(met).unionByName(both).select(F.xxhash64("key", "x", "y").alias("block"), "rep", "label", *others)
 
     def _compared(self, rows: DataFrame, table: str) -> DataFrame:
-        """Links between the members (key, rep, label, band) that meet by key."""
+        """Links between the members (key, rep, label, band) that meet by key: signatures first, then the texts of those that agree with another."""
         bit = F.when(F.col("band") >= 0, F.expr("shiftleft(1, band)")).otherwise(0)
-        rows = rows.withColumn("mask", F.bit_or(bit).over(Window.partitionBy("rep")))
+        rows = self.work.save(rows.withColumn("mask", F.bit_or(bit).over(Window.partitionBy("rep"))), f"{table}_rows")
+        met = rows.join(self.sketches.withColumnRenamed("id", "rep"), "rep").select(F.col("key").alias("block"), "key", "rep", "label", F.lit(True).alias("apart"), "sketch", "bands", "band", "mask")
+        found = met.repartition("block").sortWithinPartitions("block").mapInArrow(_agreeing, "key long, rep long")
+        rows = rows.join(self.work.save(found, f"{table}_agreeing"), ["key", "rep"], "left_semi")
         rows = rows.join(self.texts.withColumnRenamed("id", "rep"), "rep").select("key", "rep", "label", "text", "sketch", F.when(F.col("band") >= 0, F.col("bands")).alias("bands"), "band", "mask")
         rows = rows.repartition("key").sortWithinPartitions("key")
         return self.work.save(rows.mapInArrow(_compare(self.threshold), LINKS).distinct(), table)
@@ -445,15 +449,15 @@ def _versions(work: Scratch, signed: DataFrame, reps: DataFrame) -> DataFrame |
 
 
 def near_classes(docs: DataFrame, threshold: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Class of each row: (id, class_id, class_size, kept).
+    """Class of each row: (id, class_id, class_size, kept, text_hash).
 
     Rows are in one class if a chain of links joins them; a link joins texts whose weighted Jaccard similarity of
     five-word shingles (A-Z lower-cased) is `threshold` or more; bands and AGREE are made for SIMILAR, so lower thresholds
     are refused. class_id is the least id of the class and that
-    row is kept; rows that repeat its id are kept with it. Different texts under one id are versions of one document: they are in
+    row is kept; rows that repeat its id are kept with it. `text_hash` (xxhash64) tells rows of one id or of none apart. Different texts under one id are versions of one document: they are in
     one class, and each of them is compared with others. Texts of fewer than five words are one shingle; texts
     without words, null ones too, are one class. Rows of null ids are compared as all others; they aren't versions of one
-    document, and a class of them alone has a null class_id, and all its rows are kept. An empty table gives an empty result; other columns are ignored.
+    document, and a class of them alone has a null class_id; its rows with the least digest of the words are kept. An empty table gives an empty result; other columns are ignored.
     """
     if not threshold >= SIMILAR:
         raise ValueError(f"threshold must be {SIMILAR} or more: signatures would leave out pairs of lower similarity")
@@ -466,12 +470,16 @@ def near_classes(docs: DataFrame, threshold: float = SIMILAR, id_col: str = "doc
     source = F.min(F.struct(F.coalesce("id", F.lit(0)).alias("at"), "hash")).alias("source")
     reps = signed.groupBy("digest").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), source, F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     reps, n_reps = work.measured(reps.withColumn("rep", F.monotonically_increasing_id()), "reps", F.count(F.lit(1)))  # numbers are fixed as they are written
-    links, versions = Buckets(work, ids, reps, threshold).run(), _versions(work, signed, reps)
+    links, versions = Buckets(work, ids, n_docs or 0, reps, threshold).run(), _versions(work, signed, reps)
     label = components(work, links if versions is None else links.unionByName(versions))
     # of each class the least id: labels are numbers of any of the class's texts
     classes = reps.select("digest", "n", "rep", "least").join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     classes = work.save(classes, "of_digest")
-    total = classes.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("digests"))
-    classes = attach(classes, total, ["label"], ["digest"], n_reps or 0, size="digests").select("digest", "n", "class_id", "class_size")
-    out = attach(signed.select("id", "digest"), classes, ["digest"], ["id"], n_docs or 0)
-    return out.select(F.col("id").alias(id_col), "class_id", "class_size", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
+    least = F.min_by("digest", F.struct(F.col("least").isNull(), "least", "digest")).alias("head")
+    total = classes.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("digests"), least)
+    classes = attach(classes, total, ["label"], ["digest"], n_reps or 0, size="digests").select("digest", "n", "class_id", "class_size", (F.col("digest") == F.col("head")).alias("head"))
+    classes = work.save(classes, "classes")
+    work.drop_but("signed", "classes")
+    out = attach(signed.select("id", "hash", "digest"), classes, ["digest"], ["id", "hash", F.spark_partition_id()], n_docs or 0)
+    kept = F.when(F.col("class_id").isNull(), F.col("head")).otherwise(F.col("id").eqNullSafe(F.col("class_id")))
+    return out.select(F.col("id").alias(id_col), "class_id", "class_size", kept.alias("kept"), F.col("hash").alias("text_hash"))

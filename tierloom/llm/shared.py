@@ -5,6 +5,9 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import reduce
 from typing import Any
 
@@ -38,27 +41,49 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
+_SCOPE: ContextVar[list[Scratch] | None] = ContextVar("_SCOPE", default=None)
+
+
+@contextmanager
+def dropping() -> Iterator[None]:
+    """Delete all scratch tables that are made within, at the end: for callers who have saved the results that read them."""
+    made: list[Scratch] = []
+    token = _SCOPE.set(made)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        for work in made:
+            work.drop()
+
+
 class Scratch:
     """Intermediate tables of one run, written to the shared folder.
 
     A written table cuts the lineage and outlives lost executors. `save` writes and rereads a
-    DataFrame; `drop` deletes tables that no later step reads.
+    DataFrame; `drop` deletes tables that no later step reads, `drop_but` all others. The tables that an operator's
+    result reads stay until the caller's `dropping` block ends, or the folder is cleared.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.tables: set[str] = set()
+        if (scope := _SCOPE.get()) is not None:
+            scope.append(self)
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
     def save(self, df: DataFrame, table: str) -> DataFrame:
+        self.tables.add(table)
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(table))
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 
     def measured(self, df: DataFrame, table: str, value: Column) -> tuple[DataFrame, Any]:
         """`save`, and an aggregate of the rows, taken as they are written."""
         seen = Observation()
+        self.tables.add(table)
         df.observe(seen, value.alias("value")).write.mode("overwrite").option("compression", "zstd").parquet(self.path(table))
         return self.spark.read.schema(df.schema).parquet(self.path(table)), seen.get["value"]
 
@@ -72,10 +97,16 @@ class Scratch:
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for table in tables or ("",):
+            self.tables.discard(table)
             at = jvm.org.apache.hadoop.fs.Path(self.path(table))
             at.getFileSystem(conf).delete(at, True)
 
 
+    def drop_but(self, *tables: str) -> None:
+        if others := sorted(self.tables - set(tables)):
+            self.drop(*others)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Send at most `rows` rows at once to Python workers: whole texts are large, and a batch is held several times over."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -115,7 +146,7 @@ def hot_rows(n_rows: int) -> int:
     return max(HOT_ROWS, n_rows // HOT_KEYS)
 
 
-def attach(rows: DataFrame, table: DataFrame, keys: list[str], spread: list[str], n_rows: int, size: str = "n", how: str = "left") -> DataFrame:
+def attach(rows: DataFrame, table: DataFrame, keys: list[str], spread: list[str | Column], n_rows: int, size: str = "n", how: str = "left", hint: str | None = None) -> DataFrame:
     """Join `rows` to `table`, which has one row per key and the key's number of rows in `size`.
 
     A key with more than `hot_rows(n_rows)` rows is cut into as many parts by a hash of `spread`, and
@@ -128,7 +159,7 @@ def attach(rows: DataFrame, table: DataFrame, keys: list[str], spread: list[str]
     salt = F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*spread), F.col("_parts"))).cast("int")
     left = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_parts")
     right = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    return left.join(right.hint(hint) if hint else right, [*keys, "_salt"], how).drop("_salt")
 
 
 def counted(rows: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
