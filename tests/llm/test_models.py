@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tierloom.llm import queries
-from tierloom.llm.language import fit_language, language
-from tierloom.llm.quality import fit_quality, quality
+from tierloom.llm.language import BITS, LENGTHS, LanguageModel, fit_language, language
+from tierloom.llm.ngrams import Presence
+from tierloom.llm.quality import WIDTH, Grams, QualityModel, dual_descent, fit_quality, log_ratios, quality
 from tierloom.llm.shared import first_by_hash, table
 from tierloom.llm.top_k import top_k
 
@@ -94,3 +95,91 @@ def test_first_by_hash_is_the_first_of_all(spark):
         want += [(cls, k + 1, i) for k, (_, i) in enumerate(ranked)]
     assert got == want
     assert first_by_hash(rows.where("false"), "cls", 50, ["hash", "id"]).count() == 0
+
+
+def brute_kernel(a, b):
+    """Presence kernel of the blended spectrum, from sets."""
+    a, b = set(a.tolist()), set(b.tolist())
+    return len(a & b) / np.sqrt(max(1, len(a)) * max(1, len(b)))
+
+
+@pytest.mark.parametrize("landmarks", [2, 40])
+def test_language_model_is_kernel_ridge_regression(landmarks):
+    """With explicit kernel matrices and the dual solution; two landmarks for three languages keep the factors apart."""
+    rng = np.random.default_rng(0)
+    parts = {"en": "the of and to in that is was he for", "de": "der die das und ist nicht ein zu von mit", "fr": "le la les des et que une dans pour est"}
+    texts = [(lang, " ".join(rng.choice(ws.split(), 12))) for _ in range(20) for lang, ws in parts.items()]
+    presence = Presence(LENGTHS, BITS, True)
+    grams = [presence(t) for _, t in texts]
+    model = LanguageModel.solve([x for x, _ in texts], grams, landmarks, 0.1)
+    marks = np.unique(np.linspace(0, len(grams) - 1, landmarks).astype(int))
+    new = [presence(t) for t in ("the man was in the house", "das haus ist nicht klein", "une maison dans la rue", "zzz")]
+    k = lambda rows, cols: np.array([[brute_kernel(r, c) for c in cols] for r in rows])
+    inner = np.linalg.pinv(k([grams[m] for m in marks], [grams[m] for m in marks]), rcond=1e-6)
+    train, test = (k(x, [grams[m] for m in marks]) for x in (grams, new))
+    nystroem, cross = train @ inner @ train.T, test @ inner @ train.T
+    n = len(grams)
+    centre = np.eye(n) - 1 / n
+    y = np.where(np.array([x for x, _ in texts])[:, None] == np.array(model.langs), 1.0, -1.0)
+    dual = np.linalg.solve(centre @ nystroem @ centre + 0.1 * np.eye(n), y - y.mean(0))
+    want = (cross - nystroem.mean(0)) @ centre @ dual + y.mean(0)
+    np.testing.assert_allclose(model.scores(new), want, atol=2e-4)
+    assert (model.weights is None) == (landmarks > 2)
+
+
+def test_language_learns_bounded_rows_of_many_labels(spark):
+    rows = [(i, f"text {i % 40} words {i}", f"l{i % 40:02}") for i in range(400)] + [(i, "more of it", "l39") for i in range(400, 450)]
+    df = spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, lang string, score double")
+    model = fit_language(df, sample=10, landmarks=4)
+    assert len(model.langs) == 10 and "l39" in model.langs and model.grams.shape[1] == 4
+    got = language(df, model).collect()  # a column named as one of the result doesn't matter
+    assert len(got) == 450 and {r["lang_pred"] for r in got} <= set(model.langs)
+
+
+def brute_margins(x, y, test, cost, passes):
+    """Dense naive Bayes log-ratios and a plain dual coordinate descent, one row and feature at a time."""
+    n, d = x.shape
+    p, q = x[y == 1].sum(0) + 1, x[y == 0].sum(0) + 1
+    r = np.log((p / p.sum()) / (q / q.sum()))
+    r[-1] = 1
+    z = [[r[j] if x[i, j] else 0.0 for j in range(d)] for i in range(n)]
+    z = [np.array(v) / np.sqrt(sum(a * a for a in v)) for v in z]
+    w, alpha = np.zeros(d), [0.0] * n
+    rng = np.random.default_rng(0)
+    for _ in range(passes):
+        for i in rng.permutation(n):
+            s = 1 if y[i] == 1 else -1
+            top = cost * n / (2 * (y == y[i]).sum())
+            new = min(max(alpha[i] - (s * float(np.dot(z[i], w)) - 1), 0), top)
+            w, alpha[i] = w + (new - alpha[i]) * s * z[i], new
+    tested = test * r
+    return tested @ w / np.sqrt((tested**2).sum(1)), w, z
+
+
+def test_quality_model_is_brute_force_nbsvm():
+    rng = np.random.default_rng(2)
+    grams_of = Grams()
+    good, bad = ["Plain words of a story. It goes on.", "He said that she was there, at last."], ["BUY NOW!!! cheap cheap cheap", "click here click here FREE $$$"]
+    texts = [" ".join(rng.choice((good if k % 3 else bad)[k % 2].split(), 9)) for k in range(60)] + [""]
+    y = np.array([1 if k % 3 else 0 for k in range(60)] + [0])
+    grams = [grams_of(t) for t in texts]
+    used = np.unique(np.concatenate(grams))  # other columns count as smoothing in the sums alone
+    x = np.zeros((len(texts), WIDTH))
+    for i, g in enumerate(grams):
+        x[i, g] = 1
+    scale = log_ratios(grams, y)
+    w = dual_descent(grams, scale, y, 1.0, passes=3)
+    want, dense, z = brute_margins(x[:, :], y, x[:5], 1.0, 3)
+    np.testing.assert_allclose(w[used], dense[used], atol=1e-9)
+    np.testing.assert_allclose(QualityModel(w, scale, 1.0, 0.0).margins(grams[:5]), want, atol=1e-5)
+    # further passes don't find a better objective than by a hundredth
+    sign, top = np.where(y == 1, 1, -1), np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum()))
+    primal = lambda v: v @ v / 2 + (top * np.maximum(0, 1 - sign * np.array([a @ v for a in z]))).sum()
+    assert primal(dual_descent(grams, scale, y, 1.0)) <= 1.01 * primal(dual_descent(grams, scale, y, 1.0, passes=200))
+
+
+def test_quality_of_long_texts_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, ("Plain words of a story. " if i % 2 else "BUY NOW!!! cheap cheap ") * (20_000 if i < 2 else 3), 0.5, 9) for i in range(40)], "doc_id long, text string, score double, predicted int")
+    labels = spark.createDataFrame([(i, i % 2, 1) for i in range(40)] + [(3, 0, 1), (None, 1, 1), (5, None, 1)], "doc_id long, quality int, y int")
+    got = {r["doc_id"]: r for r in quality(docs, fit_quality(docs, labels)).collect()}
+    assert len(got) == 40 and all(r["predicted"] == i % 2 for i, r in got.items()) and docs.count() == 40

@@ -2,7 +2,6 @@ import re
 
 import corpus_pipeline
 from test_dedup import brute_classes, brute_substring
-from tierloom.llm.language import fit_language, language
 
 FIVE = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -36,4 +35,35 @@ def test_stages_are_brute_force(spark, tmp_path):
     assert {r["doc_id"]: len((r["text"] or "").split()) for r in docs.collect()} == want
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == set(want)
-    assert fit_language and language
+
+
+def test_stages_on_edges(spark, tmp_path):
+    """Null ids, null and empty texts, rows that repeat, ties of one id, extra columns and empty tables: each stage's result is defined."""
+    long = " ".join(f"v{k}" for k in range(60))
+    rows = [(1, "Same words here", "en", "b", 1), (1, "same words here", "en", "a", 1), (1, "same words here", "en", "a", 1), (None, "same WORDS here", "en", "a", 1), (None, long, None, None, None), (None, long + " x", "en", "a", 1), (2, "", "en", "a", 0), (2, None, "en", "a", 0), (3, "12", "en", "a", 2), (4, "other text é", None, "a", 2)]
+    df = spark.createDataFrame([(*r, 7, "y") for r in rows], FIVE + ", kept int, lang_pred string").repartition(3)
+    empty = df.where("false")
+    stages = dict(corpus_pipeline.STAGES)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0, name
+    five = FIVE.replace(",", "").split()[::2]
+    got = {name: sorted((tuple(r) for r in stages[name](spark, df, str(tmp_path)).select(*five).collect()), key=repr) for name in ("language", "exact", "near", "substring")}
+    assert got["language"] == sorted((r for r in rows if r[1] not in (None, "", "12")), key=repr)
+    assert got["exact"] == sorted([rows[0], *rows[4:6], *rows[8:], (2, None, "en", "a", 0)], key=repr)
+    # both rows of id 1 and the repeated one are one document; of the two null ids one stays
+    near = [r[:2] for r in got["near"]]
+    assert sorted(near, key=repr) in [sorted([*((r[0], r[1]) for r in rows[:3]), (None, t), *((r[0], r[1]) for r in rows[6:])], key=repr) for t in (long, long + " x")]
+    cut = [r[1] for r in got["substring"] if r[0] is None]  # null ids come first, in the order of a hash of the text
+    assert sorted(cut) == sorted(["same WORDS here", long, "x"]) and len(got["substring"]) == len(rows)
+    packed = stages["packing"](spark, df, str(tmp_path))
+    assert packed.where("start = 0").count() == len(rows)
+
+
+def test_scratch_tables_are_dropped(spark, tmp_path):
+    from tierloom.llm.shared import Scratch, dropping, path_exists
+
+    with dropping():
+        work = Scratch(spark, "test")
+        work.save(spark.range(3), "a")
+        assert path_exists(spark, work.path("a"))
+    assert not path_exists(spark, work.root)
