@@ -9,6 +9,7 @@ from tierloom.llm.language import BITS, LENGTHS, LanguageModel, fit_language, la
 from tierloom.llm.ngrams import Presence
 from tierloom.llm.quality import WIDTH, Grams, QualityModel, dual_descent, fit_quality, log_ratios, quality
 from tierloom.llm.shared import first_by_hash, table
+from tierloom.llm import top_k as top_k_module
 from tierloom.llm.top_k import top_k
 
 DATA = "/root/testdata/sf0.01"
@@ -73,6 +74,32 @@ def test_top_k_is_brute_force(spark, kind):
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == brute_top_k(rows, 10)
 
 
+@pytest.mark.parametrize("kind", ["decaying", "flat"])
+def test_top_k_of_many_query_blocks_is_brute_force(spark, monkeypatch, kind):
+    """Blocks of two queries: as many results as blocks are written, each broadcast is destroyed before the next."""
+    monkeypatch.setattr(top_k_module, "QUERY_BYTES", 2 * 8 * 24)
+    monkeypatch.setattr(top_k_module, "BATCH", 64)
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((600, 24)) * (rng.gamma(0.5, 2, (600, 1)) if kind == "decaying" else 1)
+    rows = [(i * 10, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    alive, most = [], []
+    make = type(spark.sparkContext).broadcast
+
+    def broadcast(self, value):
+        sent = make(self, value)
+        destroy = sent.destroy
+        sent.destroy = lambda *a: (alive.remove(sent), destroy(*a))
+        alive.append(sent)
+        most.append(len(alive))
+        return sent
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", broadcast)
+    got = top_k(df, df.where("vec_id % 100 = 0")).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == brute_top_k(rows, 10)
+    assert len(most) >= 15 and max(most) == 1 and not alive
+
+
 def test_top_k_edges(spark):
     df = spark.createDataFrame([(0, [1e12, 2.0]), (1, [3e12]), (2, []), (3, [float("inf")]), (None, [1.0])], "vec_id long, embedding array<double>")
     got = {r["vec_id"]: r["score"] for r in top_k(df, df.where("vec_id % 100 = 0")).collect() if r["vec_id"] == 2}

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from tierloom.llm.shared import Scratch
 
-#: Queries of one pass over the candidates: so many are broadcast at once, whatever their number.
-QUERY_BLOCK = 16_384
+#: Queries of one pass over the candidates: so many bytes of them are broadcast at once, whatever their number.
+QUERY_BYTES = 32 << 20
 #: Candidates multiplied at once.
 BATCH = 2048
 #: Beyond this bound on an inner product floats of 64 bits aren't exact, and Python's integers are used.
@@ -69,20 +69,27 @@ class Queries:
         own = np.array([-b[-1][0] if len(b) == self.k else -np.inf for b in self.best], dtype=float)
         return np.maximum(self.floor, own)
 
+    def shortest(self) -> float:
+        """Shorter candidates can't reach the k-th score of any query."""
+        least = self.threshold() * (1 - 1e-9) - 2
+        if not np.isfinite(least).all() or (least <= 0).any():
+            return 0.0
+        return float((least / np.maximum(self.norms, 1e-300)).min(initial=np.inf))
+
     def offer(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         """Candidates in descending order of length."""
         for at in range(0, len(ids), BATCH):
             self._offer(ids[at : at + BATCH], vectors[at : at + BATCH])
 
     def _offer(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        turned = vectors.astype(float) @ self.basis
         norms = _norms(vectors)
         slack = 1 + 1e-9 * self.norms * norms.max(initial=0)  # far more than what rounding can take from a bound
         least = self.threshold() - slack
         active = np.flatnonzero(self.norms * norms.max(initial=0) >= least)
-        exact = self.most * int(np.abs(vectors).max(initial=0)) * vectors.shape[1] < EXACT
         if not len(active):
-            return
+            return  # nothing is rotated for queries that are done
+        turned = vectors.astype(float) @ self.basis
+        exact = self.most * int(np.abs(vectors).max(initial=0)) * vectors.shape[1] < EXACT
         bound = self.first[active] @ turned[:, : self.head].T + np.outer(self.rest[active], _norms(turned[:, self.head :]))
         open_ = bound >= least[active, None]
         if exact and open_.mean() > 0.05:
@@ -115,22 +122,22 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float = 0.
     Candidates are all rows of `vectors` but those with the query's own id. Ties go to the smaller id. Rows with null ids
     and vectors that are null or have null or non-finite components take no part; shorter vectors are padded with
     zeros. Scores beyond a long are ordered exactly and given as the largest or smallest long. Repeated rows are candidates of their own; of repeated query ids one, with the smallest vector, is asked. Queries
-    are taken in blocks of fixed size, each broadcast, so nothing that is sent grows with the input. An
-    empty table gives an empty result; other columns are ignored.
+    are taken in blocks of QUERY_BYTES: a block is broadcast, its results are written, and its broadcast is destroyed before the
+    next one is read, so what is held on the driver and the executors doesn't grow with the input. Row groups of candidates too
+    short for all of a block's queries aren't read. An empty table gives an empty result; other columns are ignored.
     """
     spark = vectors.sparkSession
     work = Scratch(spark, "topk")
     length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), quantised(vec_col).alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
-    rows = work.save(rows.withColumn("norm", length), "candidates")
+    rows = work.save(rows.withColumn("norm", length).sortWithinPartitions(F.desc("norm")), "candidates")
     asked = queries.select(F.col(id_col).cast("long").alias("id"), quantised(vec_col).alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
     asked = asked.groupBy("id").agg(F.min("v").alias("v"))
-    block = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-asked.count() // QUERY_BLOCK))))
-    asked = work.save(asked.withColumn("block", block), "queries")
-    width = max(rows.agg(F.max(F.size("v"))).first()[0] or 0, asked.agg(F.max(F.size("v"))).first()[0] or 0)
+    asked, seen = work.measured(asked, "asked", F.struct(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width")))
+    width = max(1, rows.agg(F.max(F.size("v"))).first()[0] or 0, seen["width"] or 0)
+    n_blocks = -(-seen["n"] // max(1, QUERY_BYTES // (8 * width)))
+    asked = work.save(asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, n_blocks)))), "queries")
     shape = "query_id long, rank int, vec_id long, score long"
-    if not width:
-        width = 1
 
     def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((width, width))
@@ -149,9 +156,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float = 0.
     head = int(np.searchsorted(np.cumsum(values), share * values.sum()) + 1)
 
     seed = rows.orderBy(F.desc("norm"), "id").limit(BATCH).select("id", "v").toArrow().combine_chunks()
-    frames = []
-    for (b,) in asked.select("block").distinct().orderBy("block").collect():
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("exact"), "vec_id"))
+    paths = []
+    for b in range(n_blocks):
         part = asked.where(F.col("block") == b).select("id", "v").toArrow().combine_chunks()
+        if not len(part):
+            continue
         ids, q = np.asarray(part["id"].combine_chunks()), _matrix(part["v"].combine_chunks(), width)
         # the k-th score among a fixed number of the longest candidates is a lower bound for every task
         first = Queries(ids, q, basis, head, k)
@@ -168,11 +178,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float = 0.
             cols = [pa.array(query, pa.int64()), pa.array(vec, pa.int64()), pa.array([min(max(x, -LONG - 1), LONG) for x in score], pa.int64())]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(map(sortable, score), pa.binary())], names=["query_id", "vec_id", "score", "exact"])
 
-        frames.append(rows.sortWithinPartitions(F.desc("norm")).select("id", "v").mapInArrow(search, "query_id long, vec_id long, score long, exact binary"))
-    if not frames:
-        return spark.createDataFrame([], shape)
-    found = frames[0]
-    for f in frames[1:]:
-        found = found.unionByName(f)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("exact"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        long_enough = rows.where(F.col("norm") >= first.shortest() ** 2)  # reaches the scan: row groups of sorted lengths
+        found = long_enough.select("id", "v").mapInArrow(search, "query_id long, vec_id long, score long, exact binary")
+        work.save(found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), f"found{b}")
+        paths.append(work.path(f"found{b}"))
+        sent.destroy()
+    work.drop("candidates", "asked", "queries")
+    return spark.read.schema(shape).parquet(*paths) if paths else spark.createDataFrame([], shape)
