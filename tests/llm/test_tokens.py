@@ -5,13 +5,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
 from tierloom.llm.byte_bpe import byte_bpe
 from tierloom.llm.packing import pack, pack_documents, step_groups
 
-TEXTS = ["", None, " ", "don't  stop\n\n\tnow ", "Été 1²³ ſ", "\x1c\x85\xa0x", "日本語 テキスト 한국어", "a" * 5000, "İstanbul ΑΣ ß", "<|endoftext|> 'LL", "e\u0301 \U00018fcc렽", "🙂👩‍👩‍👧 x" * 40, "word " * 9000]
+TEXTS = ["", None, " ", "don't  stop\n\n\tnow ", "Été 1²³ ſ", "\x1c\x85\xa0x", "日本語 テキスト 한국어", "a" * 5000, "İstanbul ΑΣ ß", "<|endoftext|> 'LL", "a <|endoftext|> b<|StartOfText|>c", "x <|startoftext|>y", "e\u0301 \U00018fcc렽", "🙂👩‍👩‍👧 x" * 40, "word " * 9000]
 
 
 def docs(spark):
@@ -37,13 +38,15 @@ def test_byte_bpe_is_tiktoken(spark):
     assert byte_bpe(df.where("false"), path, P.PATTERN).count() == 0
 
 
-def test_packing_holds_each_id_once(spark):
+@pytest.mark.parametrize("ordinary", [False, True])
+def test_packing_holds_each_id_once(spark, ordinary):
     path = P.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
+    if ordinary:
+        tok.encode_special_tokens = True
     df = docs(spark).dropDuplicates(["doc_id"])
     ids = {r["doc_id"]: np.array(tok.encode(r["text"] or "", add_special_tokens=False).ids + [1], "<u4") for r in df.collect()}
-    got = pack_documents(df, path).collect()
+    got = (pack_documents(df, path, ordinary_specials=True) if ordinary else pack_documents(df, path)).collect()
     at, sequences = {}, {}
     for r in sorted(got, key=lambda r: (r["doc_id"], r["start"])):
         assert r["start"] == at.get(r["doc_id"], 0) and r["doc_tokens"] == len(ids[r["doc_id"]])

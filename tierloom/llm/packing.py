@@ -126,7 +126,7 @@ class WordTokens:
     Texts of plain Latin characters are cut here and encoded word by word, with words kept; others are left to the library.
     """
 
-    def __init__(self, data: str, ordinary_specials: bool = True):
+    def __init__(self, data: str, ordinary_specials: bool = False):
         import json
 
         from tokenizers import Tokenizer
@@ -141,7 +141,7 @@ class WordTokens:
             self.words = fast_pattern(steps[0]["pattern"]["Regex"])
             self.model = self.tok.model  # its merges alone, for words that are cut and lower-cased already
         specials = [re.escape(t["content"]) for t in spec.get("added_tokens") or [] if not (t["special"] and ordinary_specials)]
-        self.specials = re.compile("|".join(specials)) if specials else None
+        self.specials = re.compile("|".join(specials), re.IGNORECASE) if specials else None  # left to the library, which may look for them before or after it lower-cases
         self.kept = Kept(self._merge)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -166,11 +166,11 @@ class WordTokens:
 _OPEN: dict[str, WordTokens] = {}
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, longest: int = 2048, step_tokens: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, longest: int = 2048, step_tokens: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text", ordinary_specials: bool = False) -> DataFrame:
     """Tokenise and pack all documents: one row per piece (id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group).
 
-    Special tokens that a text spells out, such as <|endoftext|>, are ordinary text (`encode_special_tokens` of the library), so
-    no text can forge an end; the library's default would give them their special ids.
+    Ids are the library's with add_special_tokens=False: special tokens that a text spells out, such as <|endoftext|>, have their
+    special ids, unless `ordinary_specials` makes them ordinary text (`encode_special_tokens`), so that no text can forge an end.
     A document's ids end with `end_id`, so empty and null texts are one token. Each task packs the documents that it
     reads, without a shuffle; sequence ids hold the task's number, and a task that runs again gives the same pieces.
     Rows that repeat are documents of their own; an empty table gives an empty result; other columns are ignored.
@@ -178,7 +178,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, longes
     with open(tokenizer_path, encoding="utf-8") as f:
         data = f.read()
     sent = docs.sparkSession.sparkContext.broadcast(data)  # of fixed size
-    key = hashlib.sha1(data.encode()).hexdigest()
+    key = hashlib.sha1(data.encode()).hexdigest() + str(ordinary_specials)
     last = np.array([end_id], "<u4").tobytes()
 
     def packed(ids: list[pa.Scalar | int], tokens: list[bytes], first: int, group: int) -> tuple[pa.RecordBatch, int, int]:
@@ -198,7 +198,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, longes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _OPEN:
-            _OPEN[key] = WordTokens(sent.value)
+            _OPEN[key] = WordTokens(sent.value, ordinary_specials)
         words = _OPEN[key]
         first = group = TaskContext.get().partitionId() * IDS
         ids: list[int] = []
