@@ -58,7 +58,7 @@ def test_prepare():
     assert filters.prepare(np.array([0.0, 1.0]), 8000, None, outtype="int16")[0].tolist() == [0, 32439]
 
 
-@pytest.mark.parametrize("f", [voice.f0_residual, voice.f0_spectral])
+@pytest.mark.parametrize("f", [voice.f0_residual, lambda y, fs: voice.f0_spectral(y, fs, (90, 180))])
 def test_f0_of_a_vowel(f):
     assert np.nanmedian(f(vowel(), FS)["f0"]) == pytest.approx(125, rel=0.02)
 
@@ -74,7 +74,7 @@ def test_f0_of_a_tone_by_autocorrelation():
     assert np.nanmedian(voice.f0_autocorrelation(tone(150), FS)["f0"]) == pytest.approx(150, rel=0.02)
 
 
-@pytest.mark.parametrize("track", [voice.formants_lpc, voice.formants_ifc, lambda x, fs: voice.formants_ifc(x, fs, fast=True)])
+@pytest.mark.parametrize("track", [voice.formants_lpc, voice.formants_ifc, lambda x, fs: voice.formants_ifc(x, fs, method="ifc_fast"), lambda x, fs: voice.formants_ifc(x, fs, method="ifc_old")])
 def test_formants_of_a_vowel(track):
     found = track(vowel(), FS)
     for k, f in enumerate((500, 1500, 2500, 3500), 1):
@@ -165,3 +165,99 @@ def test_smoothn_and_peak_rms():
     assert np.abs(spectra.smoothn(noisy, 50) - y).mean() < 0.1
     assert spectra.peak_rms(np.ones(9000)) == pytest.approx(1)
     assert spectra.mfcc(vowel(), FS, 12)[1].shape[1] == 13
+
+
+def brute_harmonics(peaks):
+    """The published cost, numbering by numbering and peak by peak."""
+    best, cost = np.nan, 5.0
+    for start in range(3):
+        for first in (1, 2):
+            base = peaks[start] / first
+            found, reached = [base], first
+            for f in peaks[start + 1 :]:
+                ways = [(abs(f / k - base), k) for k in range(reached + 1, 7)]
+                if ways and min(ways)[0] < 0.05 * base:
+                    found.append(f / min(ways)[1])
+                    reached += 1
+            c = (reached - 1 + len(peaks)) / len(found)
+            if c < cost:
+                best, cost = np.mean(found), c
+    return best, cost
+
+
+def test_harmonic_fits_are_brute_force():
+    rng = np.random.default_rng(0)
+    rows = []
+    for _ in range(200):
+        f0 = rng.uniform(70, 300)
+        p = f0 * np.arange(1, rng.integers(7, 12)) * rng.normal(1, 0.01, 1)
+        p = np.sort(np.concatenate([p[rng.random(len(p)) < 0.9], rng.uniform(70, 2000, rng.integers(0, 4))]))
+        if len(p) > 5:
+            rows.append(p)
+    padded = np.full((len(rows), max(map(len, rows))), np.nan)
+    for i, p in enumerate(rows):
+        padded[i, : len(p)] = p
+    got = voice.harmonic_fits(padded, np.array(list(map(len, rows))))
+    np.testing.assert_allclose(np.stack(got, 1), [brute_harmonics(p) for p in rows])
+
+
+def test_frame_peaks_are_those_of_each_frame():
+    rng = np.random.default_rng(0)
+    for trial in range(60):
+        s = rng.standard_normal((5, 60)).cumsum(1) if trial % 2 else np.round(rng.standard_normal((5, 60)) * 2)
+        distance, prominence, wlen, height = rng.integers(1, 9), rng.random() * 2, rng.integers(3, 20), rng.standard_normal(5)
+        row, at = spectra.frame_peaks(s, height, distance, prominence, wlen)
+        for i in range(5):
+            assert at[row == i].tolist() == spectra.find_peaks(s[i], height[i], distance, prominence, wlen).tolist()
+
+
+def test_harmonic_summation_is_that_of_the_whole_spectrum():
+    y = vowel()[: FS // 4]
+    got = voice.f0_harmonics(y, FS, (60, 400))
+    x, fs = filters.prepare(y, FS, 12000)
+    f = spectra.frames(voice.emphasised(x, 0.94), 1200, 120)
+    cand = np.arange(60, 400)
+    for i, frame in enumerate(f):
+        r = voice.residual(frame[None], voice.burg(frame[None] * np.hamming(1200), 14))[0] * np.hamming(1200)
+        s = np.abs(np.fft.rfft(r, 1 << 16))
+        s /= np.sqrt((s**2).sum() * 1200 / (1 << 16))
+        at = lambda k: s[np.rint(cand * k * (1 << 16) / fs).astype(int)]
+        score = at(1) + sum(at(k) - at(k - 0.5) for k in range(2, 7))
+        assert got["f0"][i] == cand[(score >= 0.85 * score.max()).argmax()]
+        assert got["c"][i] == pytest.approx(score[int(got["f0"][i]) - 60] / 6, rel=1e-9)
+
+
+def brute_half_periods(y, fs, number, kind):
+    """The mean of half periods (of the first formant) or periods in a window that narrows, sample by sample, first loop."""
+    y = y - y.mean()
+    f = min(max(np.arccos(np.clip((y[1:] * y[:-1]).sum() / (y * y).sum(), -1, 1)) * fs / 2 / np.pi, 200), 6000)
+    marks = [0.0]
+    for i in range(len(y) - 1):
+        if y[i] * y[i + 1] < 0 or (y[i] != 0 and y[i + 1] == 0):
+            marks.append(i + abs(y[i]) / (abs(y[i]) + abs(y[i + 1])))
+    half = [b - a for a, b in zip(marks, marks[1:])][:-1]
+    hz = [fs / 2 / h for h in half] if number == 1 else [fs / (a + b) for a, b in zip(half, half[1:])]
+    sides = []
+    for side in ("near", "below"):
+        low, high = kind[side]
+        slope, base = ((high - low) / 1000, low) if number == 1 else (3600 / 4300, 400) if number < 4 else (0.83721, 400)
+        sides.append((slope, base - 200 * slope))
+    narrowing = True
+    for k in range(3):
+        up, down = (f * a + b for a, b in sides)
+        if narrowing:
+            up, down = up * (1 - 0.25 * k), down * (1 - 0.25 * k)
+            narrowing = up > 100 and down > 100
+        w = [max(0, 1 - ((h - f) / up if h >= f else (f - h) / down)) for h in hz]
+        if sum(w) > 0:
+            f = sum(a * b for a, b in zip(w, hz)) / sum(w)
+    return min(max(f, 200), 6000)
+
+
+@pytest.mark.parametrize("number", [1, 2, 4])
+def test_half_period_frequency_is_brute_force(number):
+    rng = np.random.default_rng(1)
+    y = np.sin(2 * np.pi * rng.uniform(300, 3000, (20, 1)) * np.arange(240) / 12000) + 0.4 * rng.standard_normal((20, 240))
+    for kind in voice.SPEAKERS:
+        got = voice.half_period_frequency(y, 12000, 0, number, np.zeros(20), kind)
+        np.testing.assert_allclose(got, [brute_half_periods(r, 12000, number, kind) for r in y], rtol=1e-9)

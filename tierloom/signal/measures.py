@@ -101,7 +101,7 @@ def track_formants(signals: DataFrame, keys: Sequence[str], method: str = "lpc",
     def kernel(y, fs, row):
         if method == "lpc":
             return voice.formants_lpc(y, fs, preemphasis, f0_range, order)
-        found = voice.formants_ifc(y, fs, preemphasis, f0_range, speaker, method == "ifc_fast")
+        found = voice.formants_ifc(y, fs, preemphasis, f0_range, speaker, method)
         return found | {k: np.full(len(found["sec"]), np.nan) for k in ("F5", "F6")}
 
     return measure(signals, keys, kernel, FORMANTS)
