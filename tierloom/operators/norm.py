@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FORMANTS = ("F1", "F2", "F3", "F4")
@@ -25,12 +25,17 @@ def delta_f(df: DataFrame, keys: Sequence[str] = (), formants: Sequence[str] = F
 
 
 def delta_f_norm(df: DataFrame, keys: Sequence[str] = (), factor: float | None = None, formants: Sequence[str] = FORMANTS, suffix: str = "/∆F") -> DataFrame:
-    """Add each formant divided by the spacing, and `deltaF`: of its group, of all rows, or the given factor."""
+    """Add each formant divided by the spacing, and `deltaF`: of its group, of all rows, or the given factor.
+
+    Groups are summed up before they meet and their spacings are joined back, so that no task holds a group: the join is one that
+    Spark broadcasts when the groups turn out few, and whose skewed partitions it splits otherwise.
+    """
     if factor is not None:
         out = df.withColumn("deltaF", F.lit(float(factor)))
     elif keys:
-        w = Window.partitionBy(*keys)
-        out = df.withColumn("deltaF", _spacing(formants, lambda x: x.over(w)))
+        groups = delta_f(df, keys, formants).withColumnsRenamed({k: f"_of_{k}" for k in keys})
+        same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+        out = df.join(groups, same, "left").select(*[F.col(c) for c in df.columns if c != "deltaF"], "deltaF")
     else:
         out = df.withColumn("deltaF", delta_f(df, formants=formants).scalar())
     return out.withColumns({f"{f}{suffix}": F.col(f) / F.col("deltaF") for f in formants})

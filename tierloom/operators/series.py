@@ -76,9 +76,14 @@ def top_n(df: DataFrame, keys: Sequence[str], by: Sequence[Column], n: int = 3)
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*by))).where(F.col("rank") <= n)
 
 
-def describe(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Count, mean, sample deviation, extremes and exact quartiles."""
-    q = {f"p{int(100 * p)}": F.percentile(value, F.lit(p)) for p in (0.25, 0.5, 0.75)}
+def describe(df: DataFrame, keys: Sequence[str], value: str, accuracy: int | None = None) -> DataFrame:
+    """Count, mean, sample deviation, extremes and quartiles.
+
+    Quartiles are exact, for which the distinct values of a group are held in one task. With `accuracy` they are values of the group whose
+    ranks are off by its size / accuracy at most, from sketches of fixed size that are merged: for groups of any size.
+    """
+    quantile = (lambda p: F.percentile(value, F.lit(p))) if accuracy is None else lambda p: F.percentile_approx(value, F.lit(p), F.lit(accuracy))
+    q = {f"p{int(100 * p)}": quantile(p) for p in (0.25, 0.5, 0.75)}
     aggs = {"count": F.count(value), "mean": F.avg(value), "std": F.stddev_samp(value), "min": F.min(value), **q, "max": F.max(value)}
     return df.groupBy(*keys).agg(*[a.alias(f"{value}_{name}") for name, a in aggs.items()])
 

@@ -322,8 +322,10 @@ def _samplewise(expression: str, window: str) -> str:
     return f"SELECT vec_id, i, {SQL_R.format(expression)} AS v FROM {WAVE} WINDOW w AS ({window})"
 
 
-def _wave_column(spark, d, col: Column) -> DataFrame:
-    return wave(spark, d).select("vec_id", F.col("i").cast("long").alias("i"), r4(col).alias("v"))
+def _wave_column(spark, d, y: Column) -> DataFrame:
+    """One row for each sample of an array that is worked out in place, without a shuffle."""
+    rows = read(spark, d, "embeddings").select("vec_id", F.posexplode(y).alias("i", "v"))
+    return rows.select("vec_id", F.col("i").cast("long").alias("i"), r4("v").alias("v"))
 
 
 ORDERED, WHOLE = "PARTITION BY vec_id ORDER BY i", "PARTITION BY vec_id"
@@ -331,50 +333,51 @@ ORDERED, WHOLE = "PARTITION BY vec_id ORDER BY i", "PARTITION BY vec_id"
 
 @query(_samplewise("y - 0.94::DOUBLE * coalesce(lag(y) OVER w, 0)", ORDERED))
 def preemphasis(spark, d):
-    return _wave_column(spark, d, series.preemphasis("y", ["vec_id"], ["i"]))
+    return _wave_column(spark, d, arrays.preemphasised("embedding", 0.94))
 
 
 @query(_samplewise("y - lag(y) OVER w", ORDERED))
 def difference(spark, d):
-    return _wave_column(spark, d, series.diff("y", ["vec_id"], ["i"]))
+    return _wave_column(spark, d, arrays.differences("embedding"))
 
 
 @query(_samplewise("CASE WHEN lag(y) OVER w IS NULL THEN lead(y) OVER w - y WHEN lead(y) OVER w IS NULL THEN y - lag(y) OVER w ELSE (lead(y) OVER w - lag(y) OVER w) / 2 END", ORDERED))
 def gradient(spark, d):
-    return _wave_column(spark, d, series.gradient("y", ["vec_id"], ["i"]))
+    return _wave_column(spark, d, arrays.gradient("embedding"))
 
 
 @query(_samplewise("(y - avg(y) OVER w) / stddev_pop(y) OVER w", WHOLE))
 def zscore_time(spark, d):
-    return _wave_column(spark, d, series.zscore("y", ["vec_id"]))
+    return _wave_column(spark, d, arrays.standardised("embedding"))
 
 
 @query(_samplewise("(y - min(y) OVER w) / (max(y) OVER w - min(y) OVER w)", WHOLE))
 def minmax_norm(spark, d):
-    return _wave_column(spark, d, series.minmax("y", ["vec_id"]))
+    return _wave_column(spark, d, arrays.between_extremes("embedding"))
 
 
 @query(_samplewise("y - avg(y) OVER w", WHOLE))
 def remove_dc(spark, d):
-    return _wave_column(spark, d, series.remove_dc("y", ["vec_id"]))
+    return _wave_column(spark, d, arrays.without_mean("embedding"))
 
 
 @query(_samplewise("CASE WHEN y >= min(y) OVER w + (max(y) OVER w - min(y) OVER w) * 0.5 THEN y END", WHOLE))
 def threshold_mask(spark, d):
-    return _wave_column(spark, d, series.above_threshold("y", ["vec_id"]))
+    return _wave_column(spark, d, arrays.above_threshold("embedding"))
 
 
 @query(f"""SELECT vec_id, i, CASE WHEN count(y) OVER w >= 3 THEN {SQL_R.format('max(y) OVER w')} END AS high, CASE WHEN count(y) OVER w >= 3 THEN {SQL_R.format('min(y) OVER w')} END AS low
 FROM {WAVE} WINDOW w AS (PARTITION BY vec_id ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)""")
 def rolling_minmax(spark, d):
-    high, low = (series.rolling("y", ["vec_id"], ["i"], 8, 3, how) for how in ("max", "min"))
-    return wave(spark, d).select("vec_id", F.col("i").cast("long").alias("i"), r4(high).alias("high"), r4(low).alias("low"))
+    both = F.arrays_zip(*[arrays.rolling("embedding", 8, 3, how).alias(name) for how, name in (("max", "high"), ("min", "low"))])
+    rows = read(spark, d, "embeddings").select("vec_id", F.posexplode(both).alias("i", "e"))
+    return rows.select("vec_id", F.col("i").cast("long").alias("i"), r4("e.high").alias("high"), r4("e.low").alias("low"))
 
 
 @query(f"SELECT vec_id, count_if(y >= 0 AND p < 0) AS up, count_if(y < 0 AND p >= 0) AS down FROM (SELECT *, lag(y) OVER (PARTITION BY vec_id ORDER BY i) AS p FROM {WAVE}) GROUP BY vec_id")
 def zero_crossings(spark, d):
-    up, down = series.crossings("y", ["vec_id"], ["i"])
-    return wave(spark, d).select("vec_id", up.alias("u"), down.alias("d")).groupBy("vec_id").agg(F.count_if("u").alias("up"), F.count_if("d").alias("down"))
+    up, down = arrays.crossings("embedding")
+    return read(spark, d, "embeddings").select("vec_id", up.alias("up"), down.alias("down"))
 
 
 @query(f"SELECT vec_id, i FROM {WAVE} WHERE y > 0.2::DOUBLE")
@@ -384,8 +387,8 @@ def nonzero_indexes(spark, d):
 
 @query(f"""SELECT vec_id, i, {SQL_R.format('y')} AS v, rank FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY y DESC, i) AS rank FROM {WAVE}) WHERE rank <= 3""")
 def topk_peaks(spark, d):
-    out = series.top_n(wave(spark, d), ["vec_id"], [F.desc("y"), F.asc("i")])
-    return out.select("vec_id", F.col("i").cast("long").alias("i"), r4("y").alias("v"), F.col("rank").cast("long").alias("rank"))
+    rows = read(spark, d, "embeddings").select("vec_id", F.posexplode(arrays.highest("embedding")).alias("rank", "p"))
+    return rows.select("vec_id", F.col("p.i").cast("long").alias("i"), r4("p.v").alias("v"), (F.col("rank") + 1).cast("long").alias("rank"))
 
 
 @query(f"""WITH l AS (SELECT a.vec_id, b.i - a.i AS lag, sum(a.y * b.y) AS ac FROM {WAVE} a JOIN {WAVE} b ON a.vec_id = b.vec_id AND b.i - a.i BETWEEN 4 AND 15 GROUP BY ALL),
@@ -420,11 +423,10 @@ def power_spectrum(spark, d):
 m AS (SELECT vec_id, any_value(g) AS g, sum(w * (f - g) ** 2) AS v, sum(w * (f - g) ** 3) AS m3, sum(w * (f - g) ** 4) AS m4 FROM s JOIN c USING (vec_id) GROUP BY vec_id)
 SELECT vec_id, {SQL_R.format('g')} AS cog, {SQL_R.format('sqrt(v)')} AS sd, {SQL_R.format('m3 / v ** 1.5')} AS skew, {SQL_R.format('m4 / (v * v) - 3')} AS kurtosis FROM m""")
 def spectral_moments(spark, d):
-    w = Window.partitionBy("vec_id")
-    rows = spectrum(spark, d).select("vec_id", F.col("k").cast("double").alias("f"), (F.col("p") / F.sum("p").over(w)).alias("w"))
-    rows = rows.withColumn("d", F.col("f") - F.sum(F.col("f") * F.col("w")).over(w))
-    m = rows.groupBy("vec_id").agg(F.sum(F.col("f") * F.col("w")).alias("g"), *[F.sum(F.col("w") * F.pow("d", F.lit(float(k)))).alias(f"m{k}") for k in (2, 3, 4)])
-    return m.select("vec_id", r4("g").alias("cog"), r4(F.sqrt("m2")).alias("sd"), r4(F.col("m3") / F.pow("m2", F.lit(1.5))).alias("skew"), r4(F.col("m4") / (F.col("m2") * F.col("m2")) - 3).alias("kurtosis"))
+    from tierloom.signal.udfs import power_spectrum as power
+
+    rows = read(spark, d, "embeddings").select("vec_id", power("embedding").alias("s")).select("vec_id", arrays.moments("s").alias("m"))
+    return rows.select("vec_id", *[r4(f"m.{c}").alias(c) for c in ("cog", "sd", "skew", "kurtosis")])
 
 
 @query(f"""WITH m AS (SELECT *, max(y) OVER w AS hi, min(y) OVER w AS lo FROM {WAVE} WINDOW w AS (PARTITION BY vec_id)), f AS (SELECT vec_id, i, CASE WHEN hi + lo < 0 THEN -y ELSE y END AS y FROM m)

@@ -31,6 +31,18 @@ def _column(parts: list, kind: pa.DataType) -> pa.Array:
     return pa.array([v for p in parts for v in (p.tolist() if isinstance(p, np.ndarray) and p.ndim == 1 else p)], kind)
 
 
+def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Deal signals to all cores, by their keys, where the input is too small to be split into as many parts.
+
+    Kernels take far longer than the shuffle of such an input, which has an upper bound: the size of a split for each core.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()  # an estimate, made without reading
+    return df.repartition(cores, *keys) if int(str(size)) < split * cores else df
+
+
 def measure(signals: DataFrame, keys: Sequence[str], kernel: Kernel, schema: str, extra: Sequence[str] = ()) -> DataFrame:
     """Rows of `kernel(y, fs, row)` for each signal, with its keys; NaN becomes null. Null and empty signals give no rows."""
     cols = [c.split()[0] for c in schema.split(", ")]
@@ -74,7 +86,7 @@ def measure(signals: DataFrame, keys: Sequence[str], kernel: Kernel, schema: str
                 yield built()
 
     needed = [*dict.fromkeys([*keys, *extra]), "fs", "y"]
-    return signals.select(*needed).mapInArrow(run, shape)
+    return spread(signals.select(*needed), keys).mapInArrow(run, shape)
 
 
 def seeded(seed: int, row: dict, keys: Sequence[str]) -> np.random.Generator:
