@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tierloom.dsp.hearing import LOUDNESS, LOUDNESS_DOMAIN
+
 
 def hz2bark(hz: Column) -> Column:
     return F.lit(7.0) * F.asinh(hz / F.lit(650.0))
@@ -85,3 +87,13 @@ def window_function(kind: str, i: Column, n: int) -> Column:
 
 def ordered(*cols: str) -> Column:
     return F.array_sort(F.array(*cols))
+
+
+def loudness_db(hz: Column) -> Column:
+    """Equal-loudness curve of the auditory model, in dB at a frequency in Hz."""
+    low, high = LOUDNESS_DOMAIN
+    x = (hz - low) * 2 / float(high - low) - 1
+    out = F.lit(0.0)
+    for c in reversed(LOUDNESS):
+        out = out * x + F.lit(c)
+    return out

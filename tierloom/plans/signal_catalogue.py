@@ -52,11 +52,6 @@ def get_f0_srh(spark, d):
     return measures.get_f0_srh(signals(spark, d, times=2), KEYS)
 
 
-@query()
-def get_f0_cor(spark, d):
-    return measures.get_f0_cor(signals(spark, d), KEYS)
-
-
 @query()
 def get_f0_acd(spark, d):
     return measures.get_f0_acd(signals(spark, d), KEYS)
@@ -78,16 +73,6 @@ def amplitude_envelope(spark, d):
     return samplewise(measures.amplitude_envelope(signals(spark, d), KEYS, target_fs=FS))
 
 
-@query()
-def compute_sgram(spark, d):
-    return measures.compute_sgram(signals(spark, d, 8000.0, 4), KEYS, nfft=256)
-
-
-@query()
-def sgram_slice(spark, d):
-    return measures.sgram(signals(spark, d, 8000.0, 4), KEYS, tf=4000, slice_time=0.016)
-
-
 @query()
 def get_rhythm_spectrum(spark, d):
     return measures.get_rhythm_spectrum(signals(spark, d, times=40), KEYS)
@@ -103,26 +88,6 @@ def egg_to_oq(spark, d):
     return measures.egg_to_oq(signals(spark, d, 3200.0, 8), KEYS)
 
 
-@query()
-def audspec_zgram(spark, d):
-    return measures.auditory(signals(spark, d, 16000.0, 32), KEYS)
-
-
-@query()
-def audspec_sharpgram(spark, d):
-    return measures.auditory(signals(spark, d, 16000.0, 32), KEYS, "sharpgram")
-
-
-@query()
-def audspec_blurgram(spark, d):
-    return measures.auditory(signals(spark, d, 16000.0, 32), KEYS, "blurgram")
-
-
-@query()
-def audspec_tgram(spark, d):
-    return measures.auditory(signals(spark, d, 16000.0, 32), KEYS, "tgram")
-
-
 LEVEL = "20 * log10(greatest(sqrt(list_avg(list_transform(list_slice(embedding, k * 6 + 1, k * 6 + 12)::DOUBLE[], lambda x: x * x))), 1e-12::DOUBLE) / 2e-5::DOUBLE)"
 
 
@@ -148,11 +113,6 @@ def pitch_at_times(spark, d):
     return samplers.pitch_to_df(signals(spark, d), KEYS, times(spark, d, 0.03, 0.07), "t", "SEMITONES_100", "NEAREST")
 
 
-@query()
-def mfcc_at_times(spark, d):
-    return samplers.mfcc_to_df(signals(spark, d, 3200.0, 4), KEYS, 12, times(spark, d, 0.03, 0.06), "t")
-
-
 POLAR = f"(SELECT vec_id, i, CASE WHEN hi + lo < 0 THEN -y ELSE y END AS y FROM (SELECT *, max(y) OVER w AS hi, min(y) OVER w AS lo FROM {WAVE} WINDOW w AS (PARTITION BY vec_id)))"
 
 
@@ -161,11 +121,6 @@ def prep_audio_int16(spark, d):
     return samplewise(measures.prep_audio(signals(spark, d), KEYS, None, outtype="int16"))
 
 
-@query()
-def prep_audio_resampled(spark, d):
-    return samplewise(measures.prep_audio(signals(spark, d), KEYS, 960))
-
-
 @query(f"SELECT vec_id, {SQL_R.format('sqrt(sum(y * y) / 2048)')} AS peak_rms FROM {WAVE} GROUP BY vec_id")
 def peak_rms(spark, d):
     return measures.peak_rms(signals(spark, d), KEYS).withColumn("peak_rms", r4("peak_rms"))
@@ -196,18 +151,6 @@ def apply_filterbank(spark, d):
     return measures.apply_filterbank(signals(spark, d), KEYS, [(40, 80), (80, 160)], FS)
 
 
-@query()
-def sine_synth(spark, d):
-    tracks = read(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("k", "x"))
-    cols = {"sec": F.col("k") / 100.0, "rms": F.col("x").cast("double"), **{f"F{k}": 500.0 * k + F.col("x") * 10 for k in range(1, 5)}}
-    return measures.sine_synth(tracks.withColumns(cols), KEYS, 4000)
-
-
-@query()
-def smoothn(spark, d):
-    return samplewise(measures.smoothn(signals(spark, d), KEYS, 10.0))
-
-
 @query(f"SELECT vec_id, k - 16 AS i, {SQL_R.format('embedding[k + 1]::DOUBLE')} AS v FROM embeddings, range(16, 32) z(k)")
 def clip_extract(spark, d):
     return samplewise(signals(spark, d).select("vec_id", arrays.part("y", F.lit(0.025), F.lit(0.05), FS).alias("y")))
