@@ -261,3 +261,13 @@ def test_half_period_frequency_is_brute_force(number):
     for kind in voice.SPEAKERS:
         got = voice.half_period_frequency(y, 12000, 0, number, np.zeros(20), kind)
         np.testing.assert_allclose(got, [brute_half_periods(r, 12000, number, kind) for r in y], rtol=1e-9)
+
+
+@pytest.mark.parametrize("n", [64, 441])
+def test_tapers_are_eigenvectors_of_the_band_limiting_kernel(n):
+    tapers, share = spectra.slepian(n)
+    d = np.subtract.outer(np.arange(n), np.arange(n))
+    kernel = 8 / n * np.sinc(8 / n * d)  # energy within 4 / n of 0
+    np.testing.assert_allclose(tapers @ kernel, share[:, None] * tapers, atol=1e-8)
+    np.testing.assert_allclose(tapers @ tapers.T, np.eye(len(tapers)), atol=1e-9)
+    assert (share > 0.9).all() and len(share) >= 6

@@ -3,7 +3,7 @@ import pytest
 
 from tierloom.operators.workflow import process_missing, read_measures
 from tierloom.signal import measures
-from tierloom.sources import listing, srt, textgrid, wav
+from tierloom.sources import files, listing, srt, textgrid, wav
 from tierloom.streaming.incremental import process_new_files
 
 ROWS = [("r", 0, "word", 0.0, 0.5, 'say "x"'), ("r", 0, "word", 0.7, 1.0, "[2] 3"), ("r", 1, "pt", 0.3, None, "p"), ("r", 1, "pt", 0.4, None, None)]
@@ -86,6 +86,55 @@ def test_listing(spark, tmp_path):
     assert listing.list_files(spark, str(tmp_path), dotfiles=True).count() == 3
 
 
+def test_listing_takes_any_group_name_and_reference(spark, tmp_path):
+    for d in ("s1/a b", "s2/x+y"):
+        (tmp_path / d).mkdir(parents=True)
+        (tmp_path / d / "ab_ab.tg").write_text("x")
+        (tmp_path / d / "ab_cd.tg").write_text("x")
+    (tmp_path / "s2/.bad.txt").write_text("")
+    for root in (str(tmp_path), f"file://{tmp_path}"):
+        df = listing.list_files(spark, root, r"^(?P<first_id>[a-z]+)_(?P=first_id)(?P<e_x_t>\.(tg))$", r"^(?P<sub_id>s\d)/")
+        assert df.columns == ["relpath", "fname", "sub_id", "first_id", "e_x_t"]
+        assert sorted(tuple(r) for r in df.collect()) == [("s1/a b", "ab_ab.tg", "s1", "ab", ".tg"), ("s2/x+y", "ab_ab.tg", "s2", "ab", ".tg")]
+    (tmp_path / "s2/x+y/.bad.txt").write_text("")
+    for hidden in (False, True):
+        assert {r["relpath"] for r in listing.list_files(spark, f"file://{tmp_path}", dotfiles=hidden).collect()} == {"s1/a b"}
+
+
+def test_bad_files_are_ignored_if_asked(spark, tmp_path):
+    text = textgrid.textgrid_text(spark.createDataFrame(ROWS, SCHEMA), ["rec"]).first()["text"]
+    (tmp_path / "tg").mkdir()
+    for name, x in (("a", text), ("b", text[: len(text) // 2]), ("c", "no such file"), ("d", "")):
+        (tmp_path / f"tg/{name}.TextGrid").write_text(x)
+    assert textgrid.read_textgrid(spark, f"{tmp_path}/tg", errors="ignore").count() == 5
+    with pytest.raises(Exception, match="not a whole TextGrid"):
+        textgrid.read_textgrid(spark, f"{tmp_path}/tg").count()
+    (tmp_path / "w").mkdir()
+    good = wav.to_bytes(np.zeros(100), 8000)
+    for name, x in (("a", good), ("b", good[:20]), ("c", b"RIFF")):
+        (tmp_path / f"w/{name}.wav").write_bytes(x)
+    assert wav.load_signals(spark, f"{tmp_path}/w", errors="ignore").count() == 1
+    assert wav.load_signals(spark, f"{tmp_path}/w", channels=[1], errors="ignore").count() == 0
+    with pytest.raises(Exception, match="WAV|format"):
+        wav.load_signals(spark, f"{tmp_path}/w").count()
+
+
+def test_long_recordings_come_in_chunks(spark, sounds):
+    whole = {(r["path"], r["chan"]): r["y"] for r in wav.load_signals(spark, sounds).collect()}
+    rows = wav.load_chunks(spark, sounds, 0.3, 0.05).collect()
+    assert len(rows) == 4 * 4
+    for r in rows:
+        first = int(r["start"] * 8000 + 0.5)
+        assert r["y"] == whole[(r["path"], r["chan"])][first : first + 2800] and first == r["chunk"] * 2400
+
+
+def test_write_files(spark, tmp_path):
+    df = spark.createDataFrame([("a/b.txt", "é"), ("c.txt", None), (None, "x")], "name string, content string")
+    for _ in range(2):
+        assert sorted(tuple(r) for r in files.write_files(df, f"file://{tmp_path}/o").collect()) == [("a/b.txt", 2), ("c.txt", 0)]
+    assert sorted(str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*") if p.is_file()) == ["o/a/b.txt", "o/c.txt"]
+
+
 def test_measures_and_incremental_runs(spark, tmp_path):
     (tmp_path / "m/s1").mkdir(parents=True)
     (tmp_path / "m/s1/a.ifc").write_text("sec\tf0\n0.1\t100\n0.2\t0\n")

@@ -34,10 +34,11 @@ from tierloom.signal.measures import (
     vocode,
 )
 from tierloom.signal.samplers import formant_to_df, intensity_to_df, mfcc_to_df, pitch_to_df
+from tierloom.sources.files import write_files
 from tierloom.sources.listing import list_files
 from tierloom.sources.srt import read_srt
 from tierloom.sources.textgrid import read_textgrid, textgrid_text, write_textgrids
-from tierloom.sources.wav import load_signals
+from tierloom.sources.wav import load_chunks, load_signals
 
 tg_to_df, df_to_tg, srt_to_df, loadsig, dir2df = read_textgrid, textgrid_text, read_srt, load_signals, list_files
 interpolate_measures, match_tokentimes, split_speaker_df, nonzero_groups = interpolate, nearest, split_speakers, nonzero_runs

@@ -595,7 +595,7 @@ def sample_with_replacement(spark, d):
 
 
 def _register() -> None:
-    from tierloom.plans import kernel_catalogue, signal_catalogue  # noqa: F401  their queries are registered as they are imported
+    from tierloom.plans import kernel_catalogue, signal_catalogue, source_catalogue  # noqa: F401  their queries are registered as they are imported
 
 
 def queries() -> dict[str, Query]:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tierloom.dsp.hearing import LOUDNESS, LOUDNESS_DOMAIN
+from tierloom.dsp.spectra import slepian
 from tierloom.functions import arrays, scales
 from tierloom.plans.catalogue import SQL_R, query, r4, read
 from tierloom.plans.signal_catalogue import KEYS, samplewise, signals, times
@@ -38,18 +39,28 @@ def picked(df: DataFrame, col: str, places: tuple[int, ...], *others: str) -> Da
 
 
 # frames of 800 samples at 48 kHz, lags of 120 to 799
-@query(f"""WITH f AS (SELECT vec_id, k, list_slice(y, k * 240 + 1, k * 240 + 800) AS f FROM {y(1280)}, range(3) z(k)),
+PITCH = f"""WITH f AS (SELECT vec_id, k, list_slice(y, k * 240 + 1, k * 240 + 800) AS f FROM {y(1280)}, range(3) z(k)),
 l AS (SELECT vec_id, k, lag, list_inner_product(list_slice(f, 1, 800 - lag), list_slice(f, lag + 1, 800)) AS ac FROM f, range(120, 800) q(lag)),
 m AS (SELECT vec_id, k, arg_max(lag, ac) AS lag, max(ac) AS ac FROM l GROUP BY ALL),
 e AS (SELECT vec_id, k, list_inner_product(f, f) AS e FROM f),
 r AS (SELECT vec_id, k, lag, sqrt(greatest(ac / e, 0)) AS c, 20 * log10(greatest(sqrt(e / 800), 1e-12) / max(sqrt(e / 800)) OVER (PARTITION BY vec_id)) AS db FROM m JOIN e USING (vec_id, k)),
-p AS (SELECT *, 1 / (1 + exp(-(-4.2::DOUBLE + 0.17::DOUBLE * db + 13.2::DOUBLE * c))) AS p FROM r)
+p AS (SELECT *, 1 / (1 + exp(-(-4.2::DOUBLE + 0.17::DOUBLE * db + 13.2::DOUBLE * c))) AS p FROM r)"""
+
+
+@query(f"""{PITCH}
 SELECT vec_id, (k * 240 + 400) / 48000::DOUBLE AS sec, {SQL_R.format('48000::DOUBLE / lag')} AS f0, {SQL_R.format('db')} AS rms, {SQL_R.format('c')} AS c, {SQL_R.format('p')} AS probv, p > 0.5 AS voiced FROM p""")
 def get_f0_cor(spark, d):
     out = measures.get_f0_cor(signals(spark, d, 48000.0, 20), KEYS)
     return out.select("vec_id", "sec", *[r4(c).alias(c) for c in ("f0", "rms", "c", "probv")], "voiced")
 
 
+@query(f"""{PITCH}
+SELECT vec_id, t, {SQL_R.format('12 * ln(48000::DOUBLE / lag / 100) / ln(2)')} AS f0 FROM p JOIN (VALUES (0.01::DOUBLE, 0), (0.015::DOUBLE, 1)) z(t, k) USING (k) WHERE p > 0.5""")
+def pitch_at_times(spark, d):
+    out = samplers.pitch_to_df(signals(spark, d, 48000.0, 20), KEYS, times(spark, d, 0.01, 0.015), "t", "SEMITONES_100", "NEAREST", measures.get_f0_cor)
+    return out.select("vec_id", "t", r4("f0").alias("f0"))
+
+
 SGRAM_BINS = (0, 8, 32, 64, 128)
 LEVELS = """f AS (SELECT vec_id, k, list_slice(x, k * 8 + 1, k * 8 + 64) AS r FROM x, range({frames}) z(k)),
 l AS (SELECT vec_id, k, r, list_avg(r) AS mean, list_inner_product(r, list_transform(range(64), lambda i: i - 31.5::DOUBLE)) / 21840 AS slope FROM f),
@@ -85,6 +96,25 @@ def sgram_slice(spark, d):
     return picked(out, "mag", SLICE_BINS, "vec_id", "frame", "sec").drop("mean", "top")
 
 
+def tapers(n: int) -> str:
+    """The multitaper windows of n samples and their shares, as rows; tests check them against the eigenvectors that define them."""
+    windows, shares = slepian(n)
+    return "(VALUES " + ", ".join(f"({float(w)!r}::DOUBLE, [{', '.join(f'{float(v)!r}::DOUBLE' for v in t)}])" for t, w in zip(windows, shares)) + ") q(share, taper)"
+
+
+# 64 samples at 3200 Hz around 0.02 s: bins of 50 Hz, moments over those from 300 Hz on
+@query(f"""WITH f AS (SELECT vec_id, list_transform(list_slice(y, 33, 96), lambda v: v - m) AS f FROM (SELECT vec_id, y, list_avg(list_slice(y, 33, 96)) AS m FROM {y(128)})),
+t AS (SELECT vec_id, share, list_transform(f, lambda v, i: v * taper[i]) AS f FROM f, {tapers(64)}),
+p AS (SELECT vec_id, b, 10 * log10(greatest(sum(share * ({SIZE}) ** 2) / sum(share) * (CASE WHEN b BETWEEN 1 AND 31 THEN 2 ELSE 1 END), 1e-20)) AS p FROM t, {turns(64, 64, 'range(6, 33) q(b)', '1')} GROUP BY vec_id, b),
+w AS (SELECT vec_id, b * 50::DOUBLE AS hz, p, p - min(p) OVER o AS w FROM p WINDOW o AS (PARTITION BY vec_id)),
+g AS (SELECT *, w / sum(w) OVER o AS share, sum(w * hz) OVER o / sum(w) OVER o AS g FROM w WINDOW o AS (PARTITION BY vec_id)),
+m AS (SELECT vec_id, any_value(g) AS g, sum(share * (hz - g) ** 2) AS m2, sum(share * (hz - g) ** 3) AS m3, sum(share * (hz - g) ** 4) AS m4 FROM g GROUP BY vec_id)
+SELECT vec_id, 0.02::DOUBLE AS t, {SQL_R.format('g')} AS cog, {SQL_R.format('sqrt(m2)')} AS sd, {SQL_R.format('m3 / m2 ** 1.5')} AS skew, {SQL_R.format('m4 / (m2 * m2) - 3')} AS kurtosis FROM m""")
+def fricative_moments(spark, d):
+    out = measures.fricative(signals(spark, d, 3200.0, 2).withColumn("t", F.lit(0.02)), KEYS, "t")
+    return out.select("vec_id", "t", *[r4(c).alias(c.lower()) for c in ("COG", "SD", "Skew", "Kurtosis")])
+
+
 PHASE = "(m / 96::DOUBLE - n / 64::DOUBLE)"
 KERNEL = f"(1 + 2 * list_sum(list_transform(range(1, 32), lambda k: cos(2 * pi() * k * {PHASE}))) + cos(64 * pi() * {PHASE})) / 64"
 

@@ -108,11 +108,6 @@ def formant_at_times(spark, d):
     return samplers.formant_to_df(signals(spark, d), KEYS, 3, times(spark, d, 0.03, 0.07), "t", "BARK", include_bw=True)
 
 
-@query()
-def pitch_at_times(spark, d):
-    return samplers.pitch_to_df(signals(spark, d), KEYS, times(spark, d, 0.03, 0.07), "t", "SEMITONES_100", "NEAREST")
-
-
 POLAR = f"(SELECT vec_id, i, CASE WHEN hi + lo < 0 THEN -y ELSE y END AS y FROM (SELECT *, max(y) OVER w AS hi, min(y) OVER w AS lo FROM {WAVE} WINDOW w AS (PARTITION BY vec_id)))"
 
 

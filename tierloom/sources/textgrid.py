@@ -47,13 +47,26 @@ def parse(text: str) -> list[tuple]:
     return rows
 
 
-def read_textgrid(spark: SparkSession, path: str, tiers: Sequence[str | int] = (), names: Sequence[str] | str | None = None) -> DataFrame:
-    """All tiers of the files, or those chosen by name or number, in order of choice; `names` renames the chosen ones."""
+def read_textgrid(spark: SparkSession, path: str, tiers: Sequence[str | int] = (), names: Sequence[str] | str | None = None, errors: str = "raise") -> DataFrame:
+    """All tiers of the files, or those chosen by name or number, in order of choice; `names` renames the chosen ones.
+
+    A file that isn't a whole TextGrid fails the job, or gives no rows with errors="ignore".
+    """
+    if errors not in ("raise", "ignore"):
+        raise ValueError(f"unknown errors {errors}")
+
+    def rows_of(raw: bytes) -> list[tuple]:
+        try:
+            return parse(decode(raw))
+        except (ValueError, TypeError, StopIteration) as e:
+            if errors == "ignore":
+                return []
+            raise ValueError(f"not a whole TextGrid: {e}") from None
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cols = [c.split()[0] for c in TIERS.split(", ")]
         for pdf in frames:
-            rows = [(p, *r) for p, raw in zip(pdf.path, pdf.content) for r in parse(decode(raw))]
+            rows = [(p, *r) for p, raw in zip(pdf.path, pdf.content) for r in rows_of(raw)]
             yield pd.DataFrame(rows, columns=cols)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
