@@ -1,6 +1,8 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
+
 from compare import duck, same
 
 from tierloom.llm import queries
@@ -107,6 +109,21 @@ def test_url_filter_many_nested_rules(spark):
         assert got[i] == max(fit, key=len, default=None)
 
 
+def test_url_filter_of_very_deep_hosts(spark):
+    deep = ".".join(f"l{i}" for i in range(500)) + ".org"
+    rules = [("block", f"{deep}/a/"), ("allow", "org/"), ("block", "l499.org/")]
+    urls = [(1, f"http://{deep}/a/b"), (2, f"http://x.{deep}/a/b"), (3, f"http://{deep}/b"), (4, "http://a.org/"), (5, "http://l498.l499.org/q")]
+    got = {r["page_id"]: r["rule"] for r in url_filter(spark.createDataFrame(urls, "page_id long, url string"), rule_table(spark, rules)).collect()}
+    assert got == {1: f"{deep}/a/", 2: f"{deep}/a/", 3: "l499.org/", 4: "org/", 5: "l499.org/"}
+
+
+def test_warc_reader_checks_the_index(spark, tmp_path):
+    df = spark.createDataFrame([(i, "u", "x" * 50 + str(i), 0) for i in range(4)], "page_id long, url string, html string, offset int")
+    index = write_warc(df, f"file://{tmp_path}/w", f"file://{tmp_path}/i")
+    wrong = index.withColumn("payload_digest", F.when(F.col("page_id") == 2, "0" * 40).otherwise(F.col("payload_digest")))
+    assert {r["page_id"]: r["verified"] for r in read_warc(wrong).collect()} == {0: True, 1: True, 2: False, 3: True}
+
+
 PAGES = "page_id long, url string, html string, offset int"
 
 

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tierloom.llm.shared import small_batches
 from tierloom.llm.tokenize import Kept, Splitter, blocks
 
 #: Byte b as a character, clear of white space and of sentencepiece's own signs.
@@ -96,6 +97,7 @@ def byte_bpe(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
     empty texts and have no ids. Rows that repeat give rows that repeat; an empty table gives an empty result;
     other columns are ignored. `with_ids` adds the ids themselves.
     """
+    small_batches(docs.sparkSession)
     tokens = read_ranks(ranks_path)
     sent = docs.sparkSession.sparkContext.broadcast((tokens, model_bytes(tokens)))
     key = hashlib.sha1(repr((ranks_path, pattern)).encode()).hexdigest()

@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tierloom.llm.shared import small_batches
 from tierloom.llm.tokenize import SIMPLE, Kept, blocks, fast_pattern
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
@@ -175,6 +176,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, longes
     reads, without a shuffle; sequence ids hold the task's number, and a task that runs again gives the same pieces.
     Rows that repeat are documents of their own; an empty table gives an empty result; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as f:
         data = f.read()
     sent = docs.sparkSession.sparkContext.broadcast(data)  # of fixed size

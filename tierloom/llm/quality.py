@@ -120,7 +120,9 @@ def _features(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
     """Fit on `sample` labelled rows at most of those that aren't held out, half of each class as far as there are so many.
 
-    The rows of a class are those whose hashes of the id come first. This bound is the only one.
+    The rows of a class are those whose hashes of the id come first, of equal hashes the smaller ids. This bound is the only one.
+    Of labels that repeat an id the largest counts, of its texts the greatest; null ids and labels other than 0 and 1 take no
+    part, null texts are empty. Texts are read whole, however long. Other columns of both tables are ignored, whatever their names.
     """
     y = labels.where(F.col(label_col).isin(0, 1) & (fold(id_col) != 0)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     y = first_by_hash(y.withColumn("hash", F.xxhash64("id")), "y", sample // 2, ["hash", "id"]).drop("hash")
@@ -134,9 +136,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 4000, id_col:
 def quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score of each whole text: (id, held_out, score, predicted).
 
-    Null texts are scored as empty texts. Without labels all scores are 0.5, with one class alone near 0 or 1. Rows that
+    Whole texts are scored, however long; null texts as empty ones, which have a score of their own. Null ids aren't held out. Without labels all scores are 0.5, with one class alone near 0 or 1. Rows that
     repeat are scored alike, an empty table gives an empty result, other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 131,073 weights
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

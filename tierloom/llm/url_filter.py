@@ -121,15 +121,19 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow", url_c
     fit = rules.where(F.col("rule").isNotNull() & F.col("verdict").isNotNull()).select("verdict", "rule", F.split(hosts, r"\.").alias("labels"), paths.alias("p"))
     fit = fit.select("verdict", "rule", F.concat(reversed_host(F.col("labels")), "p").alias("key"), F.size("labels").alias("depth"))
     fit = work.save(fit.dropDuplicates(["key", "verdict"]), "rules")
-    depths = sorted(r.depth for r in fit.select("depth").distinct().collect())  # at most 127, the labels that a host name can have
+    deepest = fit.agg(F.max("depth")).first()[0] or 0
 
     rows = work.save(pages.select(*keep, url_host(url_col).alias("host"), url_path(url_col).alias("path")), "pages")
     urls = work.save(rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n")), "urls")
     labels = F.split("host", r"\.")
     # a rule on a bare host also fits a url without a path: its key gets the slash
     tail = F.when(F.col("path") == "", F.lit("/")).otherwise(F.col("path"))
-    keys = [F.when(F.size(labels) >= d, F.concat(reversed_host(F.slice(labels, F.greatest(F.size(labels) - d + 1, F.lit(1)), d)), tail)) for d in depths]
-    looked = urls.where(F.col("host") != "").select("host", "path", F.explode(F.array(*keys) if keys else F.array().cast("array<string>")).alias("key")).where(F.col("key").isNotNull())
+    # a url has a key for each depth of its host that a rule may have: its labels at most, whatever the rules
+    depths = F.sequence(F.lit(1), F.least(F.size(labels), F.lit(deepest)))
+    keys = F.transform(depths, lambda d: F.struct(d.alias("depth"), F.concat(reversed_host(F.slice(labels, F.size(labels) - d + 1, d)), tail).alias("key")))
+    some = fit.select("depth").distinct()
+    looked = urls.where((F.col("host") != "") & F.lit(deepest > 0)).select("host", "path", F.explode(keys).alias("k")).select("host", "path", "k.key", "k.depth")
+    looked = looked.join(some, "depth", "left_semi").drop("depth")
     looked = looked.withColumn("spread", F.abs(F.xxhash64("host", "path") % 1_000_003))
 
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -20,7 +20,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierloom.llm.shared import Scratch, attach
+from tierloom.llm.shared import Scratch, attach, small_batches
 
 INDEX = "archive string, offset long, length long, url string, payload_digest string, page_id long, record_type string"
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, verified boolean"
@@ -79,8 +79,7 @@ def _writer(folder: str):
         try:
             for batch in batches:
                 rows = {k: [] for k in ("archive", "offset", "length", "url", "payload_digest", "page_id", "record_type")}
-                for i in range(batch.num_rows):
-                    page_id, url, html, digest, refers_to, revisit = (batch.column(c)[i].as_py() for c in range(6))
+                for page_id, url, html, digest, refers_to, revisit in zip(*(c.to_pylist() for c in batch.columns)):
                     if out is None or at >= ARCHIVE_BYTES:
                         if out is not None:
                             out.close()
@@ -113,9 +112,11 @@ def write_warc(pages: DataFrame, folder: str, index: str, min_revisit: int = 100
 
     Of records with equal payloads of `min_revisit` bytes or more, that with the largest page_id is a response and
     the others revisit it. Should rows repeat that page_id too, all of them are responses. Null ids
-    lose to any id, null urls are empty, null payloads are empty.
+    lose to any id, null urls are empty, null payloads are empty. A record's id is made from page_id and payload, so that a
+    revisit can name its response without knowing where it is: rows that repeat both have one id, and differ in their places.
     """
     spark = pages.sparkSession
+    small_batches(spark)
     digest, size = payload_digest()
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), digest.alias("digest"), size.alias("bytes"))
     large = rows.where(F.col("bytes") >= min_revisit)
@@ -165,6 +166,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     opened, source = None, None
     for batch in batches:
         out = {k: [] for k in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")}
+        known = iter(batch.column(3).to_pylist())
         for group in ranges(zip(*(batch.column(c).to_pylist() for c in range(3)))):
             archive, start, _ = group[0]
             if archive != opened:
@@ -173,7 +175,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 store, path = pafs.FileSystem.from_uri(archive)
                 opened, source = archive, store.open_input_file(path)
             data = source.read_at(group[-1][1] + group[-1][2] - start, start)
-            for _, offset, length in group:
+            for (_, offset, length), indexed in zip(group, known):
                 fields, payload = parse(zlib.decompress(data[offset - start : offset - start + length], 31))
                 revisit, digest = fields["WARC-Type"] == "revisit", fields["WARC-Payload-Digest"].removeprefix("sha1:")
                 out["page_id"].append(_id(fields["WARC-Record-ID"]))
@@ -181,7 +183,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out["payload_digest"].append(digest)
                 out["record_type"].append(fields["WARC-Type"])
                 out["refers_to"].append(_id(fields["WARC-Refers-To"]) if revisit else None)
-                out["verified"].append(None if revisit else hashlib.sha1(payload).hexdigest() == digest and len(payload) == int(fields["X-Payload-Length"]))
+                out["verified"].append(None if revisit else hashlib.sha1(payload).hexdigest() == digest == indexed and len(payload) == int(fields["X-Payload-Length"]))
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_())
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], names=list(out))
     if source is not None:
@@ -191,11 +193,11 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_warc(selected: DataFrame) -> DataFrame:
     """Read the records of the index rows `selected`, whichever they are, by coalesced byte ranges.
 
-    `verified` tells whether the payload that was read has the digest and length that its header states; null
-    for revisits, which have no payload.
+    `verified` tells whether the payload that was read has the digest of the index and the digest and length that its header
+    states; null for revisits, which have no payload.
     """
     block = F.floor(F.col("offset") / BLOCK_BYTES)
-    rows = selected.select("archive", "offset", "length").repartition("archive", block).sortWithinPartitions("archive", "offset")
+    rows = selected.select("archive", "offset", "length", "payload_digest").repartition("archive", block).sortWithinPartitions("archive", "offset")
     return rows.mapInArrow(_reader, READ)
 
 
