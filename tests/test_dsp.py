@@ -271,3 +271,18 @@ def test_tapers_are_eigenvectors_of_the_band_limiting_kernel(n):
     np.testing.assert_allclose(tapers @ kernel, share[:, None] * tapers, atol=1e-8)
     np.testing.assert_allclose(tapers @ tapers.T, np.eye(len(tapers)), atol=1e-9)
     assert (share > 0.9).all() and len(share) >= 6
+
+
+@pytest.mark.parametrize("kind", ["sine", "square", "triangle", "sawtooth", "trapezium", "exp", "noise", "whitenoise", "tpdfnoise", "pinknoise", "brownnoise", "pluck"])
+def test_noises_mix_by_peak_levels(kind):
+    x = np.sin(np.arange(4000) / 9)
+    rng = np.random.default_rng(0)
+    out = hearing.mix_with_noise(x, 8000, kind, -200, -1, rng)
+    np.testing.assert_allclose(out, x / np.abs(x).max() * 10 ** -0.05, atol=1e-9)
+    other = hearing.noise_like(kind, 4000, 8000, np.random.default_rng(1))
+    loud = hearing.mix_with_noise(x, 8000, kind, 40, 0, np.random.default_rng(1))
+    assert np.abs(loud).max() == pytest.approx(1) and np.corrcoef(loud, other)[0, 1] > 0.99
+    if kind in ("sine", "square", "triangle", "sawtooth", "trapezium", "exp"):
+        assert np.abs(other).max() <= 1 and np.argmax(np.abs(np.fft.rfft(other - other.mean()))) == 220
+    with pytest.raises(ValueError):
+        hearing.mix_with_noise(x, 8000, np.zeros(10), 0, 0)

@@ -161,3 +161,16 @@ def test_samples(spark):
     assert rows(series.sample_per_class(df, "c", 50).groupBy("c").count(), "c", "count") == [("x", 50), ("y", 50)]
     n = {r["c"]: r["count"] for r in series.sample_per_class(df, "c", 1000, True).groupBy("c").count().collect()}
     assert all(800 < v < 1200 for v in n.values())
+
+
+def test_match_frames_keeps_the_shape_of_times(spark):
+    from tierloom.operators.asof import match_frames
+
+    track = spark.createDataFrame([("a", x) for x in (0.0, 1.0, 2.0, 4.0)] + [("b", 5.0)], "rec string, sec double")
+    flat = spark.createDataFrame([("a", 0.5, 1), ("a", 3.9, 2), ("b", -9.0, 3), ("c", 1.0, 4)], "rec string, t double, n int")
+    assert sorted((r["n"], r["frame"]) for r in match_frames(flat, track, ["rec"]).collect()) == [(1, 1), (2, 3), (3, 0), (4, None)]
+    one = spark.createDataFrame([("a", [0.1, None, 9.0]), ("a", []), ("a", None), ("b", [1.0]), ("b", [1.0])], "rec string, t array<double>")
+    got = match_frames(one, track, ["rec"], width=1.5)
+    assert got.columns == ["rec", "t", "frame"] and sorted(((r["rec"], r["frame"]) for r in got.collect()), key=str) == sorted([("a", [0, None, 3]), ("a", []), ("a", None), ("b", [0]), ("b", [0])], key=str)
+    two = spark.createDataFrame([("a", [[0.1, 1.2], [], [4.0]])], "rec string, t array<array<double>>")
+    assert match_frames(two, track, ["rec"]).first()["frame"] == [[0, 1], [], [3]]

@@ -5,12 +5,13 @@ All take and give DataFrames. Signals are rows (*keys, fs, y); tiers are rows (*
 
 from tierloom.dsp.hearing import AuditoryModel as Audspec
 from tierloom.functions.scales import bark2hz, hz2bark, shannon_bands, third_octave_bands, third_octave_bounds
-from tierloom.operators.asof import adjust_boundaries, contained, interpolate, interpolate_positions, merge_tiers, nearest
+from tierloom.operators.asof import adjust_boundaries, contained, interpolate, interpolate_positions, match_frames, merge_tiers, nearest
 from tierloom.operators.norm import delta_f, delta_f_norm
 from tierloom.operators.tiers import add_context, contour, explode_intervals, fill_gaps, nonzero_runs, overlaps, split_speakers, validate_tier
 from tierloom.operators.workflow import missing, process_missing, read_measures, translate, with_metadata
 from tierloom.signal.measures import (
     add_noise,
+    add_noise_and_norm,
     amplitude_envelope,
     apply_filterbank,
     auditory,
@@ -41,7 +42,7 @@ from tierloom.sources.textgrid import read_textgrid, textgrid_text, write_textgr
 from tierloom.sources.wav import load_chunks, load_signals
 
 tg_to_df, df_to_tg, srt_to_df, loadsig, dir2df = read_textgrid, textgrid_text, read_srt, load_signals, list_files
-interpolate_measures, match_tokentimes, split_speaker_df, nonzero_groups = interpolate, nearest, split_speakers, nonzero_runs
+interpolate_measures, match_tokentimes, split_speaker_df, nonzero_groups = interpolate, match_frames, split_speakers, nonzero_runs
 get_deltaF, deltaF_norm = delta_f, delta_f_norm
 
 __all__ = [n for n in dir() if not n.startswith("_")]

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tierloom.operators.slices import running
+
 
 def last_known(df: DataFrame, keys: Sequence[str], time: str, order: Sequence[str], values: dict[str, str], width: float | None = None, backward: bool = False) -> DataFrame:
     """Add columns with the last value that isn't null up to each row; `values` maps new columns to old ones.
@@ -82,12 +84,38 @@ def nearest(targets: DataFrame, source: DataFrame, keys: Sequence[str], target_t
     return united.withColumn("_near", chosen).select(*keys, *rest, *[F.col(f"_near.{c}").alias(prefix + c) for c in cols], distance.alias("distance"), within.alias("within"))
 
 
-def adjust_boundaries(*, inner: DataFrame, outer: DataFrame, keys: Sequence[str], tolerance: float, inner_t: str = "t", outer_t: str = "t", on_error: str = "raise", shown: int = 20) -> DataFrame:
+def match_frames(targets: DataFrame, track: DataFrame, keys: Sequence[str], t: str = "t", sec: str = "sec", index: str = "frame", width: float | None = None) -> DataFrame:
+    """Targets with the number (from 0) of the nearest frame of their recording, in order of time, as `index`; of two that are equally near the later.
+
+    Times may be numbers, or arrays of numbers of any depth up to two: then `index` has the same shape, null for null times.
+    """
+    after = F.row_number().over(Window.partitionBy(*keys).orderBy(sec)) - 1
+    frames = track.select(*keys, F.col(sec).alias("_sec"), after.alias("_frame")) if width is None else running(track.select(*keys, F.col(sec).alias("_sec"), F.lit(1).alias("_one")), keys, ["_sec"], "_frame", "_one", "sum", width).select(*keys, "_sec", F.coalesce("_frame", F.lit(0)).cast("int").alias("_frame"))
+    depth = str(dict(targets.dtypes)[t]).count("array<")
+    if not depth:
+        out = nearest(targets, frames, keys, t, "_sec", prefix="", width=width)
+        return out.select(*targets.columns, F.col("_frame").alias(index))
+    if depth > 2:
+        raise TypeError(f"{t} has more than two dimensions")
+    # a row goes along with its times, so that they come together again without a second look at the targets
+    rows = targets.select(*keys, F.monotonically_increasing_id().alias("_row"), F.struct(*targets.columns).alias("_whole"), F.col(t).alias("_time"))
+    at = ["_i", "_j"][:depth]
+    for i in at:
+        rows = rows.select(*keys, "_row", "_whole", *[k for k in at if k < i], F.posexplode_outer("_time").alias(i, "_time"))
+    each = match_frames(rows, track, keys, "_time", sec, index, width).withColumn("v", F.when(F.col("_time").isNotNull(), F.col(index)))
+    for i in reversed(at):
+        outer = [k for k in at if k < i]
+        entry = F.when(F.col(i).isNotNull(), F.struct(i, "v"))
+        each = each.groupBy("_row", *outer).agg(F.first("_whole").alias("_whole"), F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["v"]).alias("v"))
+    return each.select("_whole.*", F.when(F.col(f"_whole.{t}").isNotNull(), F.col("v")).alias(index))
+
+
+def adjust_boundaries(*, inner: DataFrame, outer: DataFrame, keys: Sequence[str], tolerance: float, inner_t: str = "t", outer_t: str = "t", on_error: str = "raise", shown: int = 20, width: float | None = None) -> DataFrame:
     """Snap outer times to the nearest inner time: outer rows with `snapped`.
 
     Times farther than the tolerance raise ValueError with some of them, or keep `snapped` null with on_error="flag".
     """
-    out = nearest(outer, inner.select(*keys, F.col(inner_t).alias("_at")), keys, outer_t, "_at", tolerance)
+    out = nearest(outer, inner.select(*keys, F.col(inner_t).alias("_at")), keys, outer_t, "_at", tolerance, width=width)
     if on_error == "raise":
         bad = [r[0] for r in out.where(~F.col("within")).select(outer_t).limit(shown).collect()]
         if bad:
@@ -133,10 +161,10 @@ def interpolate(measures: DataFrame, targets: DataFrame, keys: Sequence[str], me
     source = measures.select(*keys, F.col(meas_t).alias("_m"), *[F.col(c).cast("double").alias(f"_v_{c}") for c in columns])
     united = _tagged(source, keys, "_m", 0, "_src", ("_tgt", targets)).unionByName(_tagged(targets, keys, target_t, 1, "_tgt", ("_src", source)))
     if tolerance is None and default_tolerance:
-        times = F.when(F.col("_side") == 0, F.col("_t"))
-        whole = Window.partitionBy(*keys)
-        step = (F.max(times).over(whole) - F.min(times).over(whole)) / F.nullif(F.count(times).over(whole) - 1, F.lit(0)) / 2
-        united = united.withColumn("_tol", step)
+        # summed up before recordings meet; Spark broadcasts the steps when they turn out few
+        step = ((F.max("_m") - F.min("_m")) / F.nullif(F.count("_m") - 1, F.lit(0)) / 2).alias("_tol")
+        steps = source.groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys]).agg(step)
+        united = united.join(steps, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys], "left").drop(*[f"_of_{k}" for k in keys])
     else:
         united = united.withColumn("_tol", F.lit(tolerance).cast("double"))
     united = last_known(united, keys, "_t", ["_side"], {"_before": "_src"}, width)

@@ -584,6 +584,22 @@ def reshape_wide(spark, d):
     return rows.select("vec_id", F.size("a").cast("long").alias("n"), r4(F.get(y, F.lit(3))).alias("fourth"), r4(F.get(y, F.lit(0))).alias("first"))
 
 
+FRAMES = f"(SELECT user_id, t AS sec, row_number() OVER (PARTITION BY user_id ORDER BY t) - 1 AS frame FROM {EVENTS} WHERE event_type = 'click')"
+
+
+@query(f"""WITH p AS (SELECT user_id, event_id, s, t + s * {HOUR} AS x FROM {EVENTS}, range(2) z(s) WHERE event_type = 'view'),
+b AS (SELECT p.*, f.sec AS t0, f.frame AS f0 FROM p ASOF LEFT JOIN {FRAMES} f ON p.user_id = f.user_id AND p.x >= f.sec),
+c AS (SELECT b.*, f.sec AS t1, f.frame AS f1 FROM b ASOF LEFT JOIN {FRAMES} f ON b.user_id = f.user_id AND b.x <= f.sec),
+n AS (SELECT event_id, s, CASE WHEN t0 IS NULL OR t1 - x <= x - t0 THEN f1 ELSE f0 END AS frame FROM c)
+SELECT event_id, max(CASE WHEN s = 0 THEN frame END) AS first, max(CASE WHEN s = 1 THEN frame END) AS later FROM n GROUP BY event_id""")
+def match_frames(spark, d):
+    """The numbers of the frames nearest to two times of each view, one and two arrays deep."""
+    at = views(spark, d).withColumn("at", F.array(F.array("view_t"), F.array(F.col("view_t") + HOUR)))
+    track = clicks(spark, d).select("user_id", F.col("t").alias("sec"))
+    out = asof.match_frames(at, track, ["user_id"], "at", "sec", width=24.0 * HOUR)
+    return out.select(F.col("view_id").alias("event_id"), F.col("frame")[0][0].cast("long").alias("first"), F.col("frame")[1][0].cast("long").alias("later"))
+
+
 @query()
 def sample_per_class(spark, d):
     return series.sample_per_class(read(spark, d, "events").select("event_id", "event_type", "value"), "event_type", 20, seed=1, id_cols=["event_id"])

@@ -5,6 +5,8 @@ Arrays are given as a few of their values and sums over all of them, so that bot
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -231,3 +233,16 @@ def audspec_blurgram(spark, d):
 @query(f"""WITH {ZGRAM}, {blurred(f"SELECT q, (CASE WHEN q = 0 THEN n ELSE -1 END)::DOUBLE / (n - (n - 1)) AS v FROM (SELECT n, unnest(range(-(n // 2), n // 2 + 1)) AS q FROM (SELECT floor(6 / {SPACING})::INT | 1 AS n))")} {bands_sql('s')}""")
 def audspec_sharpgram(spark, d):
     return auditory(spark, d, "sharpgram")
+
+
+MIXED = {"square": "CASE WHEN phase < 0.5 THEN 1 ELSE -1 END", "triangle": "1 - 4 * abs(phase - 0.5)", "sawtooth": "2 * phase - 1", "trapezium": "CASE WHEN phase < 0.1 THEN phase * 20 - 1 WHEN phase < 0.5 THEN 1 WHEN phase < 0.6 THEN 1 - (phase - 0.5) * 20 ELSE -1 END"}
+
+
+@query(f"""WITH w AS ({" UNION ALL ".join(f"SELECT '{k}' AS kind, i, ({x})::DOUBLE AS w FROM (SELECT i, (i * 40 % 640) / 640::DOUBLE AS phase FROM range(64) z(i))" for k, x in MIXED.items())}),
+n AS (SELECT kind, i, w / max(abs(w)) OVER (PARTITION BY kind) * 10 ** (-0.3::DOUBLE) AS w FROM w),
+m AS (SELECT vec_id, kind, i, y / max(abs(y)) OVER (PARTITION BY vec_id, kind) + w AS v FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS y FROM embeddings) JOIN n USING (i))
+SELECT vec_id, kind, i, {SQL_R.format("v / max(abs(v)) OVER (PARTITION BY vec_id, kind) * 10 ** (-0.05::DOUBLE)")} AS v FROM m""")
+def noise_waves(spark, d):
+    """Signals mixed with periodic waves at -6 dB, at a peak of -1 dB."""
+    rows = [samplewise(measures.add_noise_and_norm(signals(spark, d), KEYS, kind, -6, -1, hz=40)).withColumn("kind", F.lit(kind)) for kind in MIXED]
+    return reduce(DataFrame.unionByName, rows)

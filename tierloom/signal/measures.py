@@ -254,6 +254,11 @@ def add_noise(signals: DataFrame, keys: Sequence[str], noise_type="white", snr:
     return _signal(signals, keys, lambda y, fs, row: (fs, hearing.add_noise(y, fs, noise_type, snr, target_amp, seeded(seed, row, keys))))
 
 
+def add_noise_and_norm(signals: DataFrame, keys: Sequence[str], noise, noise_db: float, norm_db: float, seed: int = 0, hz: float = 440) -> DataFrame:
+    """Signals mixed with noise of a kind, a periodic wave or a recording, by peak levels in dB."""
+    return _signal(signals, keys, lambda y, fs, row: (fs, hearing.mix_with_noise(y, fs, noise, noise_db, norm_db, seeded(seed, row, keys), hz)))
+
+
 def sigcor_noise(signals: DataFrame, keys: Sequence[str], flip_rate: float = 0.5, start: float = 0, end: float = -1, seed: int = 0) -> DataFrame:
     return _signal(signals, keys, lambda y, fs, row: (fs, hearing.sign_flip_noise(y, fs, flip_rate, start, end, seeded(seed, row, keys))))
 
