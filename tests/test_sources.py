@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from tierloom.operators.workflow import process_missing, read_measures
+from tierloom.operators.workflow import measure_texts, process_missing, read_measures
 from tierloom.signal import measures
 from tierloom.sources import files, listing, srt, textgrid, wav
 from tierloom.streaming.incremental import process_new_files
@@ -135,6 +135,18 @@ def test_write_files(spark, tmp_path):
     assert sorted(str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*") if p.is_file()) == ["o/a/b.txt", "o/c.txt"]
 
 
+def test_measures_and_arrays_are_written(spark, tmp_path):
+    df = spark.createDataFrame([("a", 0.2, 'x\ty"\\'), ("a", 0.1, None), ("b", 1.0, "z")], "rec string, sec double, label string")
+    texts = measure_texts(df, ["rec"], ["sec", "label"], ["sec"])
+    assert files.write_files(texts.selectExpr("concat(rec, '.ifc') AS name", "content"), str(tmp_path / "m")).count() == 2
+    got = read_measures(spark, f"{tmp_path}/m", "sec double, label string", f"{tmp_path}/m")
+    assert sorted((r["barename"], r["sec"], r["label"]) for r in got.collect()) == [("a", 0.1, None), ("a", 0.2, 'x\ty"\\'), ("b", 1.0, "z")]
+    arrays = spark.createDataFrame([("a", [1.0, 2.0], 3), ("b", None, 4)], "rec string, y array<double>, n int")
+    files.write_files(files.npz_contents(arrays, ["rec"], ["y", "n"]).selectExpr("concat(rec, '.npz') AS name", "content"), str(tmp_path / "z")).count()
+    a, b = (np.load(tmp_path / f"z/{k}.npz") for k in "ab")
+    assert a["y"].tolist() == [1.0, 2.0] and int(a["n"]) == 3 and b.files == ["n"]
+
+
 def test_measures_and_incremental_runs(spark, tmp_path):
     (tmp_path / "m/s1").mkdir(parents=True)
     (tmp_path / "m/s1/a.ifc").write_text("sec\tf0\n0.1\t100\n0.2\t0\n")

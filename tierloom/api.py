@@ -8,7 +8,7 @@ from tierloom.functions.scales import bark2hz, hz2bark, shannon_bands, third_oct
 from tierloom.operators.asof import adjust_boundaries, contained, interpolate, interpolate_positions, match_frames, merge_tiers, nearest
 from tierloom.operators.norm import delta_f, delta_f_norm
 from tierloom.operators.tiers import add_context, contour, explode_intervals, fill_gaps, nonzero_runs, overlaps, split_speakers, validate_tier
-from tierloom.operators.workflow import missing, process_missing, read_measures, translate, with_metadata
+from tierloom.operators.workflow import measure_texts, missing, process_missing, read_measures, translate, with_metadata
 from tierloom.signal.measures import (
     add_noise,
     add_noise_and_norm,
@@ -35,7 +35,7 @@ from tierloom.signal.measures import (
     vocode,
 )
 from tierloom.signal.samplers import formant_to_df, intensity_to_df, mfcc_to_df, pitch_to_df
-from tierloom.sources.files import write_files
+from tierloom.sources.files import npz_contents, write_files
 from tierloom.sources.listing import list_files
 from tierloom.sources.srt import read_srt
 from tierloom.sources.textgrid import read_textgrid, textgrid_text, write_textgrids

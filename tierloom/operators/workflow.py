@@ -43,3 +43,16 @@ def read_measures(spark, path: str, schema: str, root: str, sep: str = "\t", err
     full = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")
     inside = F.regexp_replace(full, r"^\Q" + root.rstrip("/") + r"\E/?", "")
     return df.withColumns({"dirname": F.lit(root), "relpath": F.regexp_extract(inside, "^(.*?)/?[^/]*$", 1), "barename": F.regexp_extract(inside, r"([^/]*?)(\.[^./]*)?$", 1)})
+
+
+def measure_texts(df: DataFrame, keys: Sequence[str], columns: Sequence[str], order: Sequence[str], sep: str = "\t") -> DataFrame:
+    """(*keys, content): the rows of each key as the text of a delimited file with a header, as `read_measures` reads it; nulls are empty.
+
+    A file is one row, so it's for one recording or session. `sources.files.write_files` writes them; for one table of all
+    rows use Spark's own writers. Texts that hold the separator, a quote or a line break are quoted.
+    """
+    quote = lambda c: F.when(c.rlike(f'["\\n\\r{sep}]'), F.concat(F.lit('"'), F.regexp_replace(c, '(["\\\\])', r"\\$1"), F.lit('"'))).otherwise(c)
+    line = F.concat_ws(sep, *[quote(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns])
+    place = F.struct(*[F.col(c).alias(f"o{k}") for k, c in enumerate(order)], line.alias("line"))
+    lines = F.transform(F.array_sort(F.collect_list(place)), lambda p: p["line"])
+    return df.groupBy(*keys).agg(F.concat(F.lit(sep.join(columns) + "\n"), F.array_join(lines, "\n"), F.lit("\n")).alias("content"))

@@ -94,8 +94,8 @@ def listed_files(spark, d):
 @query("SELECT 'm' AS relpath, 's' || s_nationkey AS barename, s_suppkey AS sec, s_acctbal::DOUBLE AS f0 FROM supplier")
 def measure_files(spark, d):
     """Tab-separated measures, a file for each nation, read with the names of their files."""
-    line = F.concat_ws("\t", F.col("s_suppkey").cast("string"), F.col("s_acctbal").cast("string"))
-    texts = read(spark, d, "supplier").groupBy("s_nationkey").agg(F.concat(F.lit("sec\tf0\n"), F.array_join(F.array_sort(F.collect_list(line)), "\n"), F.lit("\n")).alias("content"))
+    rows = read(spark, d, "supplier").select("s_nationkey", F.col("s_suppkey").alias("sec"), F.col("s_acctbal").alias("f0"))
+    texts = workflow.measure_texts(rows, ["s_nationkey"], ["sec", "f0"], ["sec"])
     at = written(texts.select(F.format_string("m/s%d.ifc", F.col("s_nationkey").cast("long")).alias("name"), "content"), "measures")
     found = workflow.read_measures(spark, at, "sec long, f0 double", at.removeprefix("file://"))
     return found.select("relpath", "barename", "sec", "f0")

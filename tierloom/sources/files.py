@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
@@ -57,3 +59,19 @@ def without_sentinel(files: DataFrame, root: str, relpath: str, sentinel: str) -
 
     bad = files.select(relpath).distinct().mapInArrow(run, f"`{relpath}` string")
     return files.join(bad, relpath, "left_anti")
+
+
+def npz_contents(rows: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """(*keys, content): the given columns of each row, numbers and arrays of numbers, as the bytes of an .npz archive; nulls are left out."""
+    kinds = dict(rows.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for values in zip(*(batch.column(len(keys) + k).to_pylist() for k in range(len(columns)))):
+                out = io.BytesIO()
+                np.savez(out, **{c: np.asarray(v) for c, v in zip(columns, values) if v is not None})
+                found.append(out.getvalue())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(found, pa.binary())], names=[*keys, "content"])
+
+    return rows.select(*keys, *columns).mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "content binary"]))
