@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tierloom.operators import tiers
+from tierloom.operators import asof, tiers
 from tierloom.operators.slices import running, shifted
 
 WIDTHS = [0.5, 3.0, 20.0, 1000.0]
@@ -37,6 +37,8 @@ def test_slices_change_nothing(spans, width):
         lambda w: tiers.validate_tier(spans, ["rec"], width=w),
         lambda w: tiers.overlaps(spans, ["rec"], width=w),
         lambda w: tiers.nonzero_runs(spans, ["rec"], ["t1", "k"], F.col("v") > 0.4, 2, width=w),
+        lambda w: asof.interpolate(spans.select("rec", "t1", F.col("v").alias("m")), spans.select("rec", "k", "t2"), ["rec"], "t1", "t2", width=w),
+        lambda w: asof.match_frames(spans.select("rec", "k", F.array("t1", "t2").alias("t")), spans.select("rec", F.col("t1").alias("sec")).distinct(), ["rec"], width=w),
         lambda w: tiers.split_speakers(spans.withColumn("text", F.when(F.col("v") > 0.7, F.concat(F.lit("p"), "k", F.lit(": hm"))).otherwise("hm")), ["rec"], ["t1", "k"], sep=": ", width=w),
     ]
     for make in pairs:

@@ -161,10 +161,14 @@ def interpolate(measures: DataFrame, targets: DataFrame, keys: Sequence[str], me
     source = measures.select(*keys, F.col(meas_t).alias("_m"), *[F.col(c).cast("double").alias(f"_v_{c}") for c in columns])
     united = _tagged(source, keys, "_m", 0, "_src", ("_tgt", targets)).unionByName(_tagged(targets, keys, target_t, 1, "_tgt", ("_src", source)))
     if tolerance is None and default_tolerance:
-        # summed up before recordings meet; Spark broadcasts the steps when they turn out few
-        step = ((F.max("_m") - F.min("_m")) / F.nullif(F.count("_m") - 1, F.lit(0)) / 2).alias("_tol")
-        steps = source.groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys]).agg(step)
-        united = united.join(steps, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys], "left").drop(*[f"_of_{k}" for k in keys])
+        half = lambda low, high, n: (high - low) / F.nullif(n - 1, F.lit(0)) / 2
+        if width is None:
+            times, whole = F.when(F.col("_side") == 0, F.col("_t")), Window.partitionBy(*keys)
+            united = united.withColumn("_tol", half(*(f(times).over(whole) for f in (F.min, F.max, F.count))))
+        else:
+            # summed up before recordings meet; Spark broadcasts the steps when they turn out few
+            steps = source.groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys]).agg(half(F.min("_m"), F.max("_m"), F.count("_m")).alias("_tol"))
+            united = united.join(steps, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys], "left").drop(*[f"_of_{k}" for k in keys])
     else:
         united = united.withColumn("_tol", F.lit(tolerance).cast("double"))
     united = last_known(united, keys, "_t", ["_side"], {"_before": "_src"}, width)
