@@ -30,8 +30,8 @@ def amplitude_db(amplitude: Column, reference: Column | float = 1.0) -> Column:
 
 
 def voicing_probability(rms_db: Column, c: Column, weights: tuple[float, float, float] = (-4.2, 0.17, 13.2)) -> Column:
-    odds = F.exp(F.lit(weights[0]) + F.lit(weights[1]) * rms_db + F.lit(weights[2]) * c)
-    return odds / (F.lit(1.0) + odds)
+    """Logistic model; `weights` are the intercept and those of the level and the correlation. Never NaN, however large they are."""
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(weights[0]) + F.lit(weights[1]) * rms_db + F.lit(weights[2]) * c)))
 
 
 #: Pitch units of public use, from Hz.

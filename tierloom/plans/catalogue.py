@@ -468,6 +468,12 @@ def voicing_prob(spark, d):
     return read(spark, d, "events").select("event_id", r4(p).alias("probv"), (p > 0.5).alias("voiced"))
 
 
+@query(f"SELECT event_id, {SQL_R.format('1 / (1 + exp(-x))')} AS probv, x > 0 AS voiced FROM (SELECT event_id, -7.2::DOUBLE + 9.45::DOUBLE * (value / 100) + 10 * (value / 100 - 0.5::DOUBLE) AS x FROM events)")
+def voicing_prob_older(spark, d):
+    p = scales.voicing_probability(F.col("value") / 100, F.col("value") / 100 - 0.5, (-7.2, 9.45, 10.0))
+    return read(spark, d, "events").select("event_id", r4(p).alias("probv"), (p > 0.5).alias("voiced"))
+
+
 @query(f"SELECT k AS band, {SQL_R.format('100 * 2 ** k / 2 ** (1 / 6::DOUBLE)')} AS low, {SQL_R.format('100 * 2 ** k * 2 ** (1 / 6::DOUBLE)')} AS high FROM range(6) z(k)")
 def octave_bands(spark, d):
     return scales.third_octave_bands(spark).select("band", r4("low").alias("low"), r4("high").alias("high"))
@@ -538,6 +544,26 @@ def path_quote(spark, d):
     return read(spark, d, "documents").select("doc_id", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), F.replace("lang", F.lit('"'), F.lit('""')).alias("quoted"))
 
 
+@query("SELECT o_orderkey AS token, CASE WHEN o_orderstatus = 'F' THEN 'female' ELSE 'male' END AS speaker_sex, o_totalprice::DOUBLE AS price FROM orders")
+def rename_convert(spark, d):
+    """Chosen columns of a table under other names, one of them converted as it is read."""
+    sex = F.when(F.col("o_orderstatus") == "F", "female").otherwise("male")
+    rows = read(spark, d, "orders").select("o_orderkey", sex.alias("speaker_sex"), F.col("o_totalprice").cast("double").alias("price"))
+    return rows.withColumnRenamed("o_orderkey", "token")
+
+
+@query(f"SELECT user_id, t1, t2, event_type FROM {SPANS} ORDER BY user_id, t1, t2")
+def sort_rows(spark, d):
+    """Rows in order of recording and time: one range-partitioned sort, for a sink that keeps the order."""
+    return spans(spark, d).orderBy("user_id", "t1", "t2")
+
+
+@query(f"SELECT event_id, t, event_type FROM {EVENTS} ORDER BY t, event_id LIMIT 5")
+def first_rows(spark, d):
+    """The first rows of a table in order, by a top-n in each task: no full sort."""
+    return events(spark, d).select("event_id", "t", "event_type").orderBy("t", "event_id").limit(5)
+
+
 @query("SELECT DISTINCT source, lang FROM documents")
 def distinct_paths(spark, d):
     return read(spark, d, "documents").select("source", "lang").distinct()
