@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from tierloom.llm import components as components_module
 from tierloom.llm import near_dedup
 from tierloom.llm.components import components
 from tierloom.llm.near_dedup import elements, near_classes, signatures
@@ -235,6 +236,28 @@ def test_components(spark, kind):
     assert len(set(got.values())) == len(set(label.values())) == len({(got[k], label[k]) for k in got})
 
 
+@pytest.mark.parametrize("most", [0, 60, 1 << 18])
+def test_components_are_the_same_wherever_links_are_joined(spark, monkeypatch, most):
+    monkeypatch.setattr(components_module, "ON_DRIVER", most, raising=False)
+    links = [(i, i + 1) for i in range(150)] + [(200, i) for i in range(201, 260)] + [(300, 301), (301, 300), (2**60, 302)]
+    got = {x["id"]: x["label"] for x in components(Scratch(spark, "test"), spark.createDataFrame(links, "a long, b long")).collect()}
+    groups = [set(range(151)), set(range(200, 260)), {300, 301}, {302, 2**60}]
+    assert got.keys() == set().union(*groups)
+    assert all(len({got[x] for x in g}) == 1 and got[min(g)] in g for g in groups)
+
+
+def test_components_of_few_links_take_few_jobs(spark):
+    """Each pass by shuffles is some ten jobs of as many tasks as there are shuffle partitions, however few links there are."""
+    sc = spark.sparkContext
+    links = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
+    sc.setJobGroup("few-links", "components of few links")
+    try:
+        components(Scratch(spark, "test"), links)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < len(sc.statusTracker().getJobIdsForGroup("few-links")) <= 8
+
+
 def test_near_classes_of_a_large_group_and_edges(spark):
     r = random.Random(5)
     base = [f"w{i}" for i in range(300)]

@@ -213,7 +213,7 @@ def _compare(threshold: float):
 
 
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, key, rep, label, apart, sketch, bands, band, mask) sorted by block to (key, rep) of members that may belong with one of another label in their block."""
+    """(block, key, rep, label, apart, sketch, bands, band, mask) sorted by block to (key, rep, label, band, mask) of members that may belong with one of another label in their block."""
 
     def met(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(parts).combine_chunks()
@@ -230,7 +230,7 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if near.any():
                 found |= near
                 found[i] = True
-        return pa.RecordBatch.from_arrays([rows.column(c).combine_chunks().filter(pa.array(found)) for c in (1, 2)], names=["key", "rep"])
+        return pa.RecordBatch.from_arrays([rows.column(c).combine_chunks().filter(pa.array(found)) for c in (1, 2, 3, 7, 8)], names=["key", "rep", "label", "band", "mask"])
 
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -247,6 +247,7 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 LINKS = "a long, b long"
+AGREEING = "key long, rep long, label long, band int, mask int"
 
 
 class Buckets:
@@ -358,12 +359,11 @@ class Buckets:
         # of those that belong with the hub all have the hub's label
         rows = rows.select("key", "band", "rep", "n", apart.alias("apart"), F.when(apart, F.col("mine")).otherwise(head).alias("label"))
         rows = self.work.save(rows, f"judged{round_}")
-        open_ = rows.where("apart").groupBy("key").agg(F.count(F.lit(1)).alias("n_open"))
+        open_ = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.count_if("apart").alias("n_open")).where("n_open > 0")
         open_, n_open = self.work.measured(open_, f"open{round_}", F.sum("n_open"))
         if not n_open:
             return None
-        sized = counted(rows, ["key"]).withColumnRenamed("n", "size").join(open_, "key")
-        rows, n_rest = self.work.measured(attach(rows, sized, ["key"], ["rep"], n_large, size="size", how="inner"), f"rest{round_}", F.sum((F.col("n_open") > SMALL).cast("int")))
+        rows, n_rest = self.work.measured(attach(rows, open_, ["key"], ["rep"], n_large, size="size", how="inner"), f"rest{round_}", F.sum((F.col("n_open") > SMALL).cast("int")))
         if n_rest and not round_:
             self.dealt = rows.where(F.col("n_open") > SMALL).select("key", "band", "rep")
         last = round_ == len(OFFSETS)
@@ -391,7 +391,7 @@ class Buckets:
             return
         met = self._blocks(rows, SIGNATURES, "key", "apart", "band", "mask").join(self.sketches.withColumnRenamed("id", "rep"), "rep")
         met = met.select("block", "key", "rep", "label", "apart", "sketch", "bands", "band", "mask").repartition("block").sortWithinPartitions("block")
-        found = self.work.save(met.mapInArrow(_agreeing, "key long, rep long").distinct(), "agreeing")
+        found = self.work.save(met.mapInArrow(_agreeing, AGREEING).select("key", "rep"), "agreeing")
         rows, n = self._apart(rows.select("key", "rep", "label").join(found, ["key", "rep"], "left_semi"), "doubtful")
         if n:
             self.links.append(self._compared(self._blocks(rows, BLOCK).select(F.col("block").alias("key"), "rep", "label", F.lit(-1).alias("band")), "parted"))
@@ -428,11 +428,11 @@ class Buckets:
         bit = F.when(F.col("band") >= 0, F.expr("shiftleft(1, band)")).otherwise(0)
         rows = self.work.save(rows.withColumn("mask", F.bit_or(bit).over(Window.partitionBy("rep"))), f"{table}_rows")
         met = rows.join(self.sketches.withColumnRenamed("id", "rep"), "rep").select(F.col("key").alias("block"), "key", "rep", "label", F.lit(True).alias("apart"), "sketch", "bands", "band", "mask")
-        found = met.repartition("block").sortWithinPartitions("block").mapInArrow(_agreeing, "key long, rep long")
-        rows = rows.join(self.work.save(found, f"{table}_agreeing"), ["key", "rep"], "left_semi")
+        found = met.repartition("block").sortWithinPartitions("block").mapInArrow(_agreeing, AGREEING)
+        rows = self.work.save(found, f"{table}_agreeing")
         rows = rows.join(self.texts.withColumnRenamed("id", "rep"), "rep").select("key", "rep", "label", "text", "sketch", F.when(F.col("band") >= 0, F.col("bands")).alias("bands"), "band", "mask")
         rows = rows.repartition("key").sortWithinPartitions("key")
-        return self.work.save(rows.mapInArrow(_compare(self.threshold), LINKS).distinct(), table)
+        return self.work.save(rows.mapInArrow(_compare(self.threshold), LINKS), table)
 
 
 def _versions(work: Scratch, signed: DataFrame, reps: DataFrame) -> DataFrame | None:
