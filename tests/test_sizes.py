@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tierloom.dsp import hearing
+from tierloom.dsp import hearing, voice
 from tierloom.signal import measures
 
 
@@ -31,3 +31,36 @@ def test_sine_synth_hands_back_few_signals_at_once(spark, functions):
     assert len(made) > 1 and max(len(b.column(2).values) for b in made) < measures.BATCH + 500_000
     assert sum((b.column(0).to_pylist() for b in made), []) == list(range(9))
     assert sum(map(len, (b.column(2).flatten() for b in made))) == 9 * len(got[0][1])
+
+
+def tones(count: int) -> list[tuple[np.ndarray, float]]:
+    """Signals of several lengths and rates, some too short for a frame, one silent."""
+    rng = np.random.default_rng(1)
+    shapes = [(64, 640.0), (300, 1000.0), (5, 640.0), (2500, 12000.0), (4800, 16000.0)]
+    out = [(rng.normal(size=n) + np.sin(np.arange(n) * (0.1 + k / 50)), fs) for k in range(count) for n, fs in [shapes[k % 5]]]
+    return [(np.zeros_like(y), fs) if k == 3 else (y, fs) for k, (y, fs) in enumerate(out)]
+
+
+@pytest.mark.parametrize("many, one", [
+    *[(lambda s, m=m: voice.formants_ifc_of(s, method=m), lambda y, fs, m=m: voice.formants_ifc(y, fs, method=m)) for m in ("ifc", "ifc_old")],
+])
+def test_frames_of_many_signals_are_measured_as_those_of_one(many, one):
+    signals = tones(12)
+    for got, (y, fs) in zip(many(signals), signals, strict=True):
+        for k, v in one(y, fs).items():
+            assert len(got[k]) == len(v) and np.allclose(got[k], v, equal_nan=True), k
+
+
+@pytest.mark.parametrize("method", ["ifc", "ifc_old"])
+def test_inverse_filter_control_takes_frames_of_many_signals_at_once(spark, functions, monkeypatch, method):
+    rows = [(k, fs, y.tolist()) for k, (y, fs) in enumerate(tones(40))]
+    df = spark.createDataFrame(rows, "k int, fs double, y array<double>")
+    measures.track_formants(df, ["k"], method, 0.94)
+    calls, real = [], voice._control
+    monkeypatch.setattr(voice, "_control", lambda f, *a: calls.append(len(f)) or real(f, *a))
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["k", "fs", "y"])
+    made = pa.Table.from_batches(functions[0](iter([batch]))).to_pandas()
+    monkeypatch.undo()
+    want = {k: len(voice.formants_ifc(np.array(y), fs, 0.94, method="ifc_fast")["sec"]) for k, fs, y in rows}
+    assert made.groupby("k").size().to_dict() == {k: n for k, n in want.items() if n}
+    assert len(calls) == -(-sum(want.values()) // voice.FRAMES) and sum(calls) == sum(want.values())
