@@ -42,7 +42,7 @@ def tones(count: int) -> list[tuple[np.ndarray, float]]:
 
 
 @pytest.mark.parametrize("many, one", [
-    *[(lambda s, m=m: voice.formants_ifc_of(s, method=m), lambda y, fs, m=m: voice.formants_ifc(y, fs, method=m)) for m in ("ifc", "ifc_old")],
+    *[(lambda s, m=m: voice.formants_ifc_of(s, method=m), lambda y, fs, m=m: voice.formants_ifc(y, fs, method=m)) for m in ("ifc", "ifc_fast", "ifc_old")],
 ])
 def test_frames_of_many_signals_are_measured_as_those_of_one(many, one):
     signals = tones(12)
@@ -51,7 +51,7 @@ def test_frames_of_many_signals_are_measured_as_those_of_one(many, one):
             assert len(got[k]) == len(v) and np.allclose(got[k], v, equal_nan=True), k
 
 
-@pytest.mark.parametrize("method", ["ifc", "ifc_old"])
+@pytest.mark.parametrize("method", ["ifc", "ifc_fast", "ifc_old"])
 def test_inverse_filter_control_takes_frames_of_many_signals_at_once(spark, functions, monkeypatch, method):
     rows = [(k, fs, y.tolist()) for k, (y, fs) in enumerate(tones(40))]
     df = spark.createDataFrame(rows, "k int, fs double, y array<double>")
