@@ -42,6 +42,7 @@ def tones(count: int) -> list[tuple[np.ndarray, float]]:
 
 
 @pytest.mark.parametrize("many, one", [
+    (lambda s: voice.f0_harmonics_of(s), lambda y, fs: voice.f0_harmonics(y, fs)),
     *[(lambda s, m=m: voice.formants_ifc_of(s, method=m), lambda y, fs, m=m: voice.formants_ifc(y, fs, method=m)) for m in ("ifc", "ifc_fast", "ifc_old")],
 ])
 def test_frames_of_many_signals_are_measured_as_those_of_one(many, one):
@@ -64,3 +65,25 @@ def test_inverse_filter_control_takes_frames_of_many_signals_at_once(spark, func
     want = {k: len(voice.formants_ifc(np.array(y), fs, 0.94, method="ifc_fast")["sec"]) for k, fs, y in rows}
     assert made.groupby("k").size().to_dict() == {k: n for k, n in want.items() if n}
     assert len(calls) == -(-sum(want.values()) // voice.FRAMES) and sum(calls) == sum(want.values())
+
+
+def test_harmonics_take_frames_of_many_signals_at_once(spark, functions, monkeypatch):
+    rows = [(k, fs, y.tolist()) for k, (y, fs) in enumerate(tones(40))]
+    measures.get_f0_srh(spark.createDataFrame(rows, "k int, fs double, y array<double>"), ["k"])
+    monkeypatch.setattr(measures, "TOGETHER", 3.0)
+    calls, real = [], voice.f0_harmonics_of
+    monkeypatch.setattr(voice, "f0_harmonics_of", lambda some, *a: calls.append(len(some)) or real(some, *a))
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["k", "fs", "y"])
+    made = pa.Table.from_batches(functions[0](iter([batch]))).to_pandas()
+    assert 1 < len(calls) < 10 and sum(calls) == 40
+    for k, fs, y in rows[::7]:
+        want = voice.f0_harmonics(np.array(y), fs)
+        assert np.allclose(made.f0[made.k == k].to_numpy(float), want["f0"], equal_nan=True)
+
+
+def test_signals_are_dealt_to_more_tasks_the_more_they_are(spark, monkeypatch):
+    monkeypatch.setattr(measures, "PIECE", 1000)
+    few, many = (spark.range(n).select("id", F.lit(640.0).alias("fs"), F.array(F.rand(1), F.rand(2)).alias("y")) for n in (1000, 8000))
+    a, b = (measures.peak_rms(df, ["id"]).rdd.getNumPartitions() for df in (few, many))
+    assert 7 * a <= b <= 9 * a and a > spark.sparkContext.defaultParallelism
+    assert measures.peak_rms(many, ["id"]).count() == 8000

@@ -30,20 +30,28 @@ def _column(parts: list, kind: pa.DataType) -> pa.Array:
     return pa.array([v for p in parts for v in (p.tolist() if isinstance(p, np.ndarray) and p.ndim == 1 else p)], kind)
 
 
+#: Signals are dealt to tasks of about so many stored bytes, up to so many tasks unless their input's splits are more.
+PIECE, TASKS = 1 << 20, 10_000
+#: Of no table: Spark's sizes from here on stand for unknown ones.
+UNKNOWN = 1 << 60
 #: Seconds of signals that a kernel of many signals is given at once.
 TOGETHER = 60.0
 
 
 def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Deal signals to all cores, by their keys, where the input is too small to be split into as many parts.
+    """Deal signals to tasks of bounded size, and to all cores at least, by their keys.
 
-    Kernels take far longer than the shuffle of such an input, which has an upper bound: the size of a split for each core.
+    The number of tasks grows with the size of the tables that are read, since kernels take far longer than the shuffle. Input of
+    unknown size stays as it is, and so does input that is read in pieces as small.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()  # an estimate, made without reading
-    return df.repartition(cores, *keys) if int(str(size)) < split * cores else df
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()  # estimates, made without reading; those of joins are products
+    size = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    if size >= UNKNOWN or split <= PIECE and size >= split * cores:
+        return df
+    return df.repartition(max(cores, min(-(-size // PIECE), TASKS), -(-size // split)), *keys)
 
 
 def measure(signals: DataFrame, keys: Sequence[str], kernel: Kernel | Callable[[list[tuple[np.ndarray, float]]], list], schema: str, extra: Sequence[str] = (), many: bool = False) -> DataFrame:
@@ -152,7 +160,7 @@ def get_f0(signals: DataFrame, keys: Sequence[str], f0_range=(63, 400), pre: flo
 
 
 def get_f0_srh(signals: DataFrame, keys: Sequence[str], f0_range=(60, 400), pre: float = 0.94) -> DataFrame:
-    return measure(signals, keys, lambda y, fs, row: voice.f0_harmonics(y, fs, f0_range, pre), PITCH)
+    return measure(signals, keys, lambda some: voice.f0_harmonics_of(some, f0_range, pre), PITCH, many=True)
 
 
 def get_f0_cor(signals: DataFrame, keys: Sequence[str], f0_range=(60, 400)) -> DataFrame:
