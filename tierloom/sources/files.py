@@ -10,7 +10,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,6 +20,26 @@ def open_fs(path: str) -> tuple[fs.FileSystem, str]:
     return (fs.LocalFileSystem(), local) if local.startswith("/") else fs.FileSystem.from_uri(path)
 
 
+#: A task reads about so many files, and so many bytes of small ones.
+FILES, BYTES = 500, 4 << 20
+
+
+def packed(found: DataFrame) -> DataFrame:
+    """What is read from files, with many small ones in a task.
+
+    Spark counts a file as 4 MB at least, which makes a task of every 32 small ones; such tasks are put together, without a shuffle.
+    """
+    leaf = found._jdf.queryExecution().optimizedPlan().collectLeaves().apply(0)
+    count, size = leaf.relation().location().allFiles().size(), int(str(leaf.stats().sizeInBytes()))
+    return found.coalesce(max(found.sparkSession.sparkContext.defaultParallelism, -(-count // FILES), -(-size // BYTES)))
+
+
+def binary_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """(path, modificationTime, length, content) of the files below `path`, from any store that Spark reads, `packed`."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    return packed((reader.option("pathGlobFilter", glob) if glob else reader).load(path))
+
+
 def write_files(files: DataFrame, folder: str, name: str = "name", content: str = "content") -> DataFrame:
     """Write `content` (text as UTF-8, or bytes) to folder/name for each row and return (name, bytes) of what was written.
 
@@ -31,12 +51,14 @@ def write_files(files: DataFrame, folder: str, name: str = "name", content: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             store, root = open_fs(folder)
-            names, sizes = batch.column(0).to_pylist(), []
+            names, sizes, made = batch.column(0).to_pylist(), [], set()
             for n, c in zip(names, batch.column(1)):
                 raw = c.as_py() or b""
                 path = f"{root}/{n}"
-                store.create_dir(path.rpartition("/")[0])
-                part = f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}.part"
+                if (at := path.rpartition("/")[0]) not in made:
+                    store.create_dir(at)
+                    made.add(at)
+                part = f"{at}/.{uuid.uuid4().hex}.part"
                 with store.open_output_stream(part, compression=None) as out:
                     out.write(raw)
                 store.move(part, path)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierloom.sources.files import open_fs
+from tierloom.sources.files import binary_files, open_fs
 
 
 @dataclass(frozen=True)
@@ -82,6 +82,10 @@ def to_bytes(y: np.ndarray, fs: int) -> bytes:
     return b"RIFF" + struct.pack("<I", 36 + len(data)) + b"WAVEfmt " + struct.pack("<I", 16) + head + b"data" + struct.pack("<I", len(data)) + data
 
 
+#: Signals are handed back in batches of about so many samples.
+BATCH = 1 << 20
+
+
 def load_signals(spark: SparkSession, path: str, channels: Sequence[int] = (), offset: float = 0.0, duration: float | None = None, fs: float | None = None, glob: str = "*.wav", errors: str = "raise") -> DataFrame:
     """(path, chan, fs, y) of each channel, or of those chosen, in the order of choice, resampled if fs is given.
 
@@ -96,6 +100,7 @@ def load_signals(spark: SparkSession, path: str, channels: Sequence[int] = (), o
         from tierloom.dsp.filters import resample_fft
 
         for pdf in frames:
+            rows, waiting = [], 0
             for path, raw in zip(pdf.path, pdf.content):
                 try:
                     rate, y = parse(raw)
@@ -109,9 +114,15 @@ def load_signals(spark: SparkSession, path: str, channels: Sequence[int] = (), o
                 y = y[:, start : None if duration is None else start + int(duration * rate)]
                 picked = chosen or list(range(len(y)))
                 out = [y[c] if fs in (None, rate) else resample_fft(y[c], int(y.shape[1] * fs / rate)).astype(np.float32) for c in picked]
-                yield pd.DataFrame({"path": path, "chan": picked, "fs": float(fs or rate), "y": out})
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+                rows += [(path, c, float(fs or rate), v) for c, v in zip(picked, out)]
+                waiting += sum(map(len, out))
+                if waiting >= BATCH:
+                    yield pd.DataFrame(rows, columns=["path", "chan", "fs", "y"])
+                    rows, waiting = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=["path", "chan", "fs", "y"])
+
+    files = binary_files(spark, path, glob)
     return files.select("path", "content").mapInPandas(run, "path string, chan int, fs double, y array<float>")
 
 
@@ -149,6 +160,6 @@ def load_chunks(spark: SparkSession, path: str, seconds: float = 60.0, overlap:
                 kinds = (pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.float32()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["path", "chan", "chunk", "start", "fs", "y"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path", "length")
+    files = binary_files(spark, path, glob).select("path", "length")
     ranges = files.mapInArrow(plan, "path string, length long, chunk int, first long")
     return ranges.repartition("path", F.col("chunk")).mapInArrow(read, CHUNKS)
