@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tierloom.dsp import hearing, voice
 from tierloom.signal import measures
+from tierloom.sources import files, srt, textgrid, wav
 
 
 @pytest.fixture
@@ -87,3 +88,24 @@ def test_signals_are_dealt_to_more_tasks_the_more_they_are(spark, monkeypatch):
     a, b = (measures.peak_rms(df, ["id"]).rdd.getNumPartitions() for df in (few, many))
     assert 7 * a <= b <= 9 * a and a > spark.sparkContext.defaultParallelism
     assert measures.peak_rms(many, ["id"]).count() == 8000
+
+
+def test_many_small_files_are_read_in_few_tasks(spark, tmp_path):
+    cores = spark.sparkContext.defaultParallelism
+    for k in range(40 * cores):
+        (tmp_path / f"{k}.wav").write_bytes(wav.to_bytes(np.full(10, k / 1000), 8000))
+        (tmp_path / f"{k}.TextGrid").write_text(f'File type = "ooTextFile"\nObject class = "TextGrid"\n\n0\n1\n<exists>\n1\n"IntervalTier"\n"w"\n0\n1\n1\n0\n1\n"n{k}"\n')
+    one = tmp_path / "x.srt"
+    one.write_text("1\n00:00:01,000 --> 00:00:02,000\nhello\n")
+    sounds, grids = wav.load_signals(spark, str(tmp_path)), textgrid.read_textgrid(spark, str(tmp_path / "*.TextGrid"))
+    assert sounds.rdd.getNumPartitions() == grids.rdd.getNumPartitions() == cores
+    assert sorted(round(r["y"][0] * 1000) for r in sounds.collect()) == list(range(40 * cores))
+    assert {r["label"] for r in grids.collect()} == {f"n{k}" for k in range(40 * cores)}
+    assert [r["text"] for r in srt.read_srt(spark, str(one)).collect()] == ["hello"]
+
+
+def test_large_files_keep_their_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "FILES", 2)
+    for k in range(64):
+        (tmp_path / f"{k}.wav").write_bytes(wav.to_bytes(np.zeros(10), 8000))
+    assert files.binary_files(spark, str(tmp_path), "*.wav").rdd.getNumPartitions() == spark.read.format("binaryFile").load(str(tmp_path)).rdd.getNumPartitions()

@@ -9,7 +9,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierloom.sources.files import open_fs, without_sentinel
+from tierloom.sources.files import binary_files, open_fs, without_sentinel
 
 FILES = "path string, bytes long, mtime double"
 
@@ -40,7 +40,7 @@ def list_files(spark: SparkSession, folder: str, file_pattern: str | None = None
         rows = [(f.path, f.size, f.mtime.timestamp() if f.mtime else None) for f in found if f.type == fs.FileType.File]
         files, base = spark.createDataFrame(rows, FILES), top.rstrip("/")
     else:
-        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+        found = binary_files(spark, root)
         files, base = found.select("path", F.col("length").alias("bytes"), (F.unix_micros("modificationTime") / 1e6).alias("mtime")), re.sub("^file:/+", "/", root)
     inside = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), r"^\Q" + base.replace(r"\E", r"\E\\E\Q") + r"\E/?", "")
     files = files.withColumn("_in", inside).withColumns({"relpath": F.regexp_extract("_in", "^(?:(.*)/)?[^/]*$", 1), "fname": F.regexp_extract("_in", "([^/]*)$", 1)})

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tierloom.sources.files import packed
+
 STAMP = r"(\d+):(\d\d):(\d\d)[,.](\d{1,3})"
 LINE = rf"(?s)^\s*(?:\d+\s*\n)?\s*{STAMP}\s*-->\s*{STAMP}[^\n]*(?:\n(.*))?$"
 
@@ -24,6 +26,6 @@ def parse_blocks(df: DataFrame, block: str) -> DataFrame:
 
 def read_srt(spark: SparkSession, path: str) -> DataFrame:
     """(path, seq, t1, t2, text) of all subtitles in the files."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^﻿|\r", "").alias("value"))
+    files = packed(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^﻿|\r", "").alias("value")))
     blocks = files.select("path", F.posexplode(F.split("value", r"\n[ \t]*\n\s*")).alias("seq", "block"))
     return parse_blocks(blocks, "block").select("path", "seq", "t1", "t2", "text")

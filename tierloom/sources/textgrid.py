@@ -9,11 +9,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tierloom.sources.files import binary_files
+
 TIERS = "path string, tier_no int, tier string, kind string, seq int, t1 double, t2 double, label string, xmin double, xmax double"
 #: Numbers, quoted strings and flags that stand alone; the words and indexes of the long form are passed over.
 TOKEN = re.compile(r'"((?:[^"]|"")*)"|<(exists|absent)>|(?<![\w\[.:])(-?\d+(?:\.\d*)?(?:[eE][-+]?\d+)?)(?![\w\].:])')
 
 
+#: Rows are handed back in batches of about so many.
+BATCH = 20_000
+
+
 def decode(raw: bytes) -> str:
     if raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
         return raw.decode("utf-16")
@@ -66,10 +72,15 @@ def read_textgrid(spark: SparkSession, path: str, tiers: Sequence[str | int] = (
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cols = [c.split()[0] for c in TIERS.split(", ")]
         for pdf in frames:
-            rows = [(p, *r) for p, raw in zip(pdf.path, pdf.content) for r in rows_of(raw)]
+            rows: list[tuple] = []
+            for p, raw in zip(pdf.path, pdf.content):
+                rows += [(p, *r) for r in rows_of(raw)]
+                if len(rows) >= BATCH:
+                    yield pd.DataFrame(rows, columns=cols)
+                    rows = []
             yield pd.DataFrame(rows, columns=cols)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    files = binary_files(spark, path).select("path", "content")
     out = files.mapInPandas(run, TIERS)
     chosen = list(tiers)
     if not chosen:
