@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 FORMANTS = ("F1", "F2", "F3", "F4")
 SPEED_OF_SOUND = 35300.0
+#: Rows of a group that meet in one task.
+PART = 100_000
 
 
 def _spacing(formants: Sequence[str], over) -> Column:
@@ -27,15 +29,21 @@ def delta_f(df: DataFrame, keys: Sequence[str] = (), formants: Sequence[str] = F
 def delta_f_norm(df: DataFrame, keys: Sequence[str] = (), factor: float | None = None, formants: Sequence[str] = FORMANTS, suffix: str = "/∆F") -> DataFrame:
     """Add each formant divided by the spacing, and `deltaF`: of its group, of all rows, or the given factor.
 
-    Groups are summed up before they meet and their spacings are joined back, so that no task holds a group: the join is one that
-    Spark broadcasts when the groups turn out few, and whose skewed partitions it splits otherwise.
+    Groups are summed up before they meet and their spacings are joined back. Rows meet them by group and part, of which a group has
+    one for every `PART` rows, so that no task reads a large group; the groups of several parts, which are broadcast, are so few.
     """
     if factor is not None:
         out = df.withColumn("deltaF", F.lit(float(factor)))
     elif keys:
-        groups = delta_f(df, keys, formants).withColumnsRenamed({k: f"_of_{k}" for k in keys})
+        spacing = _spacing(formants, lambda x: x).alias("deltaF")
+        groups = df.groupBy(*keys).agg(spacing, (F.count(F.lit(1)) / PART).cast("int").alias("_last")).withColumnsRenamed({k: f"_of_{k}" for k in keys})
         same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
-        out = df.join(groups, same, "left").select(*[F.col(c) for c in df.columns if c != "deltaF"], "deltaF")
+        own = df.drop("deltaF")
+        large = groups.where("_last > 0").drop("deltaF")
+        part = F.pmod(F.xxhash64(*formants, F.spark_partition_id()), F.coalesce("_last", F.lit(0)) + 1)  # alike when a task is run again
+        dealt = own.join(F.broadcast(large), same, "left").select(*own.columns, part.alias("_part"))
+        parts = groups.withColumn("_of_part", F.explode(F.sequence(F.lit(0), "_last")))
+        out = dealt.join(parts, [*same, F.col("_part") == F.col("_of_part")], "left").select(*own.columns, "deltaF")
     else:
         out = df.withColumn("deltaF", delta_f(df, formants=formants).scalar())
     return out.withColumns({f"{f}{suffix}": F.col(f) / F.col("deltaF") for f in formants})
